@@ -22,8 +22,8 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are packed as little-endian 32-bit integers")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a cache's younger half. When it is full it becomes the older half, whose own entries go.
-CACHE_ENTRIES = 400_000
+#: Entries of the younger half of a worker's caches. When it is full it becomes the older half, whose own entries go.
+PIECES_HELD, PRE_TOKENS_HELD = 150_000, 250_000
 ENDS = frozenset(".,;:!?")
 PLAIN = regex.compile(r"[\t\n\r -~¡-ÿ]*")
 
@@ -48,15 +48,15 @@ def byte_alphabet() -> dict[int, str]:
 class _Pieces(dict):
     """Ids of a piece as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, held: int):
+        self.make, self.held = make, held
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
             out = self.make(piece)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.held:
             self.older = dict(self)
             self.clear()
         self[piece] = out
@@ -94,8 +94,8 @@ class PieceEncoder:
         self.blank = self.alphabet[0x20]
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # what comes here is new to the worker
-        self.pre_tokens = _Pieces(self._pre_token)
-        self.pieces = _Pieces(self._piece)
+        self.pre_tokens = _Pieces(self._pre_token, PRE_TOKENS_HELD)
+        self.pieces = _Pieces(self._piece, PIECES_HELD)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -28,10 +28,12 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
-    "orc.stripe.size": str(64 << 20),
+    "orc.stripe.size": str(16 << 20),
     "orc.encoding.strategy": "SPEED",
     "compression": "zstd",
 }
+#: Shards of a data set at most: their starts, 16 bytes each, are broadcast.
+MOST_SHARDS = 1_000_000
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("start_in_shard", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 FILE_DDL = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
 
@@ -66,11 +68,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, shard, start (ids of all documents before it), n_tokens, ids."""
     rows = spark.read.schema(FILE_DDL).orc(path)
-    # one row a shard: as many as the job that wrote had partitions
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("in_shard"))
+    if shards.count() > MOST_SHARDS:
+        raise ValueError(f"{path} has more than {MOST_SHARDS} shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("in_shard").over(before), F.lit(0)).alias("shard_start"))
-    return rows.join(shards, "shard").select("doc_id", "shard", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
+    shards = shards.select("shard", (F.coalesce(F.sum("in_shard").over(before), F.lit(0))).alias("shard_start"))
+    return rows.join(F.broadcast(shards), "shard").select("doc_id", "shard", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
