@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from tessella.llm.fingerprints import op6_fingerprints
 from tessella.llm.mixing import op10_mixing
 from tessella.llm.packing import op5_packing
 from tessella.llm.token_counts import op9_token_counts
 from tessella.llm.token_files import op4_token_ids
 
-QUERIES = {"op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+QUERIES = {"op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
