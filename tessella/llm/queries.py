@@ -7,6 +7,7 @@ from tessella.llm.mixing import op10_mixing
 from tessella.llm.packing import op5_packing
 from tessella.llm.token_counts import op9_token_counts
 from tessella.llm.token_files import op4_token_ids
+from tessella.llm.toxicity import op3_toxicity
 
-QUERIES = {"op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
