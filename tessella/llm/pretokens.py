@@ -23,7 +23,7 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of the younger half of a worker's caches. When it is full it becomes the older half, whose own entries go.
-PIECES_HELD, PRE_TOKENS_HELD = 150_000, 250_000
+PIECES_HELD, PRE_TOKENS_HELD = 250_000, 350_000
 ENDS = frozenset(".,;:!?")
 PLAIN = regex.compile(r"[\t\n\r -~¡-ÿ]*")
 
@@ -94,8 +94,10 @@ class PieceEncoder:
         self.blank = self.alphabet[0x20]
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # what comes here is new to the worker
-        self.pre_tokens = _Pieces(self._pre_token, PRE_TOKENS_HELD)
-        self.pieces = _Pieces(self._piece, PIECES_HELD)
+        self.spaced = _Pieces(lambda word: self._pre_token(" " + word), PRE_TOKENS_HELD)
+        self.bare = _Pieces(self._pre_token, PRE_TOKENS_HELD)
+        #: By the piece without the blank before it, where the vocabulary keeps blanks.
+        self.pieces = _Pieces(self._spaced_piece if self.keeps_blanks else self._word_piece, PIECES_HELD)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -107,38 +109,51 @@ class PieceEncoder:
             shown = token.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        body = piece[1:] if self.keeps_blanks and piece[:1] == " " else piece
-        if body.isalpha() and PLAIN.fullmatch(body):
-            return self.pre_tokens[piece if self.keeps_blanks else piece.lower()]
-        if body[-1:] in ENDS and body[:-1].isalpha() and PLAIN.fullmatch(body):
-            word = piece[:-1]
-            return self.pre_tokens[word if self.keeps_blanks else word.lower()] + self.pre_tokens[body[-1]]
-        if self.keeps_blanks:
-            # a piece carries the blank before it, except the first of a text, which is marked by a leading "^"
-            body = piece[1:] if piece[:1] in " ^" else piece
-            if piece[:1] == " " and (not body or body[0].isspace()) or body[-1:].isspace():
-                raise Touching
-            piece = body if piece[:1] == "^" else piece
-        if not PLAIN.fullmatch(piece) or any(s in piece for s in self.specials):
+    def _odd(self, piece: str) -> bool:
+        return not PLAIN.fullmatch(piece) or any(s in piece for s in self.specials)
+
+    def _spaced_piece(self, piece: str) -> bytes:
+        """The ids of a blank and the piece."""
+        if piece.isalpha() and (piece.isascii() or PLAIN.fullmatch(piece)):
+            return self.spaced[piece]
+        if piece[-1:] in ENDS and piece[:-1].isalpha() and PLAIN.fullmatch(piece):
+            return self.spaced[piece[:-1]] + self.bare[piece[-1]]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Touching
+        if self._odd(piece):
+            return self._library(" " + piece)
+        return b"".join(self.spaced[t[1:]] if t[0] == " " else self.bare[t] for t in self.pattern.findall(" " + piece))
+
+    def _word_piece(self, piece: str) -> bytes:
+        if piece.isalpha() and (piece.isascii() or PLAIN.fullmatch(piece)):
+            return self.bare[piece.lower()]
+        if piece[-1:] in ENDS and piece[:-1].isalpha() and PLAIN.fullmatch(piece):
+            return self.bare[piece[:-1].lower()] + self.bare[piece[-1]]
+        if self._odd(piece):
             return self._library(piece)
-        if not self.keeps_blanks:
-            piece = piece.lower()
-        return b"".join(map(self.pre_tokens.__getitem__, self.pattern.findall(piece)))
+        return b"".join(map(self.bare.__getitem__, self.pattern.findall(piece.lower())))
 
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a text. Raises Touching where it can be told at once that they do not serve."""
-        if not self.keeps_blanks:
-            return text.split(" ")
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        """The beginning of a text, up to its first blank, and the pieces after it."""
         first, *rest = text.split(" ")
-        return ["^" + first, *map(" ".__add__, rest)]
+        return first, rest
+
+    def beginning(self, first: str) -> bytes:
+        if not self.keeps_blanks:
+            return self.pieces[first]
+        if first[-1:].isspace():
+            raise Touching
+        if self._odd(first):
+            return self._library(first)
+        return b"".join(map(self.bare.__getitem__, self.pattern.findall(first)))
 
     def encode(self, text: str) -> bytes:
         """All ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        first, rest = self.cut(text)
         try:
-            return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+            return self.beginning(first) + b"".join(map(self.pieces.__getitem__, rest))
         except Touching:
             return self._library(text)
 

@@ -39,7 +39,7 @@ def _sketch(vocabulary: str):
         cut, counts = encoder(vocabulary).cut, Counter()
         for batch in batches:
             for text in texts_of(batch.column("text")):
-                counts.update(cut(text))
+                counts.update(cut(text)[1])
             if len(counts) > 32 * SKETCH_PIECES:
                 counts = pruned(counts, 4 * SKETCH_PIECES)
         kept = pruned(Counter({k: v for k, v in counts.items() if len(k.encode()) <= TABLE_BYTES}), SKETCH_PIECES)
@@ -105,7 +105,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
         for text in texts_of(batch.column("text")):
             n_bytes.append(len(text) if text.isascii() else len(text.encode()))
             try:
-                n_tokens.append(sum(map(length, own.cut(text))) if text else 0)
+                first, rest = own.cut(text)
+                n_tokens.append(len(own.beginning(first)) // 4 + sum(map(length, rest)) if text else 0)
             except Touching:
                 n_tokens.append(len(own.encode(text)) // 4)
         return {"doc_id": batch.column("doc_id"), "n_bytes": n_bytes, "n_tokens": n_tokens, "over_limit": [n > limit for n in n_tokens]}
