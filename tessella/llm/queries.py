@@ -6,9 +6,10 @@ from tessella.llm.fingerprints import op6_fingerprints
 from tessella.llm.html_text import op7_html_text
 from tessella.llm.mixing import op10_mixing
 from tessella.llm.packing import op5_packing
+from tessella.llm.substring_dedup import op1_suffix_dedup
 from tessella.llm.token_counts import op9_token_counts
 from tessella.llm.token_files import op4_token_ids
 from tessella.llm.toxicity import op3_toxicity
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
