@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm.chosen_path import op8_ngram_jaccard_join
 from tessella.llm.fingerprints import op6_fingerprints
 from tessella.llm.html_text import op7_html_text
 from tessella.llm.mixing import op10_mixing
@@ -11,5 +12,5 @@ from tessella.llm.token_counts import op9_token_counts
 from tessella.llm.token_files import op4_token_ids
 from tessella.llm.toxicity import op3_toxicity
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op7_html_text": op7_html_text, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
