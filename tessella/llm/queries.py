@@ -10,7 +10,8 @@ from tessella.llm.packing import op5_packing
 from tessella.llm.substring_dedup import op1_suffix_dedup
 from tessella.llm.token_counts import op9_token_counts
 from tessella.llm.token_files import op4_token_ids
+from tessella.llm.topk import op2_topk_search
 from tessella.llm.toxicity import op3_toxicity
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op7_html_text": op7_html_text, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_topk_search": op2_topk_search, "op3_toxicity": op3_toxicity, "op4_token_ids": op4_token_ids, "op5_packing": op5_packing, "op6_fingerprints": op6_fingerprints, "op7_html_text": op7_html_text, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_token_counts": op9_token_counts, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
