@@ -28,7 +28,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._common import fresh_path, shuffle_partitions, table, to_batch, written
@@ -361,3 +361,13 @@ def links(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that lead their class. Of rows with one id and one text with words, one stays."""
+    leaders = links(docs).where("leader").select(F.col("doc_id").alias("l_doc"), F.col("key").alias("l_key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("k_", F.unhex(F.sha2(text, 256)))
+    kept = keyed.join(leaders, keyed["doc_id"].cast("long").eqNullSafe(leaders["l_doc"]) & (keyed["k_"] == leaders["l_key"]))
+    each = F.row_number().over(Window.partitionBy("l_doc", "l_key").orderBy(F.lit(0)))
+    return kept.withColumn("n_", each).where((F.col("n_") == 1) | ~F.col("text").rlike(r"\S") | F.col("text").isNull()).select(*docs.columns)

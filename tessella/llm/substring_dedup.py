@@ -24,7 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._common import fresh_path, shuffle_partitions, table, to_batch, written
@@ -238,7 +238,7 @@ def _cut(keep_text: bool):
                 spans = merged(np.frombuffer(b"".join(blobs), "u4").reshape(-1, 2).astype("i8")).tolist()
                 edges = [0, *(x for s in spans for x in s), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
-                for column, v in zip(out.values(), (key, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None, [x for s in spans for x in s]), strict=True):
+                for column, v in zip(out.values(), (key, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if keep_text else None, [x for s in spans for x in s]), strict=True):
                     column.append(v)
             yield to_batch(out, CUT)
 
@@ -256,6 +256,27 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     return each.select("doc_id", "key", "n_bytes", ((F.col("i") == 1) & (F.coalesce("doc_id", F.lit(NULL_FIRST)) == F.col("ord"))).alias("first_")), cut
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with what is left of their texts, and ``n_chars``, if there, to match.
+
+    A row goes when nothing is left of a text that had something. Of a character that a cut goes through, nothing is kept.
+    """
+    keyed_docs = docs.withColumn("k_", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    texts = distinct_texts(keyed(docs))
+    cut = texts.join(covered(texts), "key").select("key", "text", "stretches").mapInArrow(_cut(True), CUT_DDL)
+    of_text = texts.select("key", "ord").join(cut.select("key", F.col("kept").alias("left_")), "key", "left")
+    joined = keyed_docs.join(of_text, keyed_docs["k_"] == of_text["key"], "left")
+    joined = joined.where(F.col("key").isNull() | (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_FIRST)) == F.col("ord")))
+    nth = F.row_number().over(Window.partitionBy("k_").orderBy(F.lit(0)))
+    joined = joined.withColumn("n_", nth).where(F.col("key").isNull() | (F.col("n_") == 1))
+    joined = joined.where(F.col("left_").isNull() | (F.length("left_") > 0))
+    text = F.when(F.col("left_").isNull(), F.col("text")).otherwise(F.col("left_").cast("string"))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("left_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, cut = repeats(table(spark, sf_dir, "documents"))
     cut = cut.drop("kept", "spans").withColumn("first_", F.lit(True))
