@@ -65,6 +65,8 @@ def deeper(tokens: np.ndarray, branch: int, depth: int) -> np.ndarray:
     ends = np.array([branch], "u8")
     least = 1 / (SIMILARITY * len(tokens))
     for level in range(1, depth):
+        if not len(ends):
+            break
         found = [mixed(tokens[mixed(tokens ^ e ^ np.uint64(level)).astype("f8") / ALL < least] * np.uint64(0x9E3779B97F4A7C15) + e) for e in ends]
         ends = np.concatenate(found)
     return ends
