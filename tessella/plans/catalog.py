@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessella.plans import retrieval, vectors  # noqa: F401
+from tessella.plans.registry import QUERIES, SQL
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "topk_bm25"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
