@@ -369,7 +369,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that lead their class. Of rows with one id and one text with words, one stays."""
     leaders = links(docs).where("leader").select(F.col("doc_id").alias("l_doc"), F.col("key").alias("l_key")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("k_", F.unhex(F.sha2(text, 256)))
-    kept = keyed.join(leaders, keyed["doc_id"].cast("long").eqNullSafe(leaders["l_doc"]) & (keyed["k_"] == leaders["l_key"]))
+    # further columns may have any names
+    rows = docs.select(F.col("doc_id").cast("long").alias("r_doc"), F.unhex(F.sha2(text, 256)).alias("r_key"), text.rlike(r"\S").alias("r_words"), F.struct("*").alias("row"))
+    kept = rows.join(leaders, rows["r_doc"].eqNullSafe(leaders["l_doc"]) & (rows["r_key"] == leaders["l_key"]))
     each = F.row_number().over(Window.partitionBy("l_doc", "l_key").orderBy(F.lit(0)))
-    return kept.withColumn("n_", each).where((F.col("n_") == 1) | ~F.col("text").rlike(r"\S") | F.col("text").isNull()).select(*docs.columns)
+    return kept.withColumn("n", each).where("n = 1 or not r_words").select("row.*")

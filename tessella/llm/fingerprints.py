@@ -3,7 +3,7 @@
 The runs of five words of a text are hashed once; the upper bits of a hash name one of ``BINS`` bins, each of
 which keeps its least hash. An empty bin copies the bin that a hash of its own number and an attempt picks, with
 as many attempts as it takes to meet a bin that was not empty, so every filled bin is as likely as any other. Of
-each bin the lowest ``BITS`` bits are stored. Two unlike values agree in them with probability 2**-BITS, by which
+each bin ``BITS`` bits of a hash of its value and number are stored. Two unlike values agree in them with probability 2**-BITS, by which
 the share of agreeing bins is corrected.
 
 Defined cases: null and empty texts, and texts of white space, have the empty fingerprint, which is like itself
@@ -43,14 +43,16 @@ def fingerprint(text: str) -> bytes:
     hashes.sort()
     at = np.searchsorted(hashes, EDGES)
     full = np.append(at[1:], len(hashes)) > at
-    values = hashes[np.minimum(at, len(hashes) - 1)].astype("u1") & LOW
+    values = hashes[np.minimum(at, len(hashes) - 1)]
     empty, tries = np.flatnonzero(~full), 0
     while len(empty):
         asked = _attempt(tries)[empty]
         found = full[asked]
         values[empty[found]] = values[asked[found]]
         empty, tries = empty[~found], tries + 1
-    return (values[0::2] << BITS | values[1::2]).tobytes()
+    # copies of one hash show other bits in each bin, so that unlike hashes agree by chance bin by bin
+    bits = mixed(values ^ EDGES).astype("u1") & LOW
+    return (bits[0::2] << BITS | bits[1::2]).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:

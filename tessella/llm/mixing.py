@@ -123,9 +123,10 @@ def chosen(docs: DataFrame, **settings) -> DataFrame:
 
 def mix(docs: DataFrame, *, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The mixture: the columns of ``docs``, with a row for each time that a document is taken, shuffled within its shard."""
-    rows = chosen(docs, shards=shards, blocks=blocks, seed=seed).where("size_ > 0").withColumn("draw_", F.explode("drawn_"))
+    packed = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))  # further columns may have any names
+    rows = chosen(packed, shards=shards, blocks=blocks, seed=seed).where("size_ > 0").withColumn("draw_", F.explode("drawn_"))
     rows = rows.withColumn("order_", F.xxhash64("key_", "draw_.round", F.lit(seed + 2)))
-    return rows.repartition(shards, "draw_.shard").sortWithinPartitions("draw_.shard", "order_", "doc_id").select(*docs.columns)
+    return rows.repartition(shards, "draw_.shard").sortWithinPartitions("draw_.shard", "order_", "doc_id").select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

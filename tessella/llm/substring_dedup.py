@@ -261,20 +261,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A row goes when nothing is left of a text that had something. Of a character that a cut goes through, nothing is kept.
     """
-    keyed_docs = docs.withColumn("k_", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    # further columns may have any names
+    packed = docs.select(F.col("doc_id").cast("long").alias("r_doc"), F.col("text").alias("r_text"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).alias("r_key"), F.struct("*").alias("row"))
     texts = distinct_texts(keyed(docs))
     cut = texts.join(covered(texts), "key").select("key", "text", "stretches").mapInArrow(_cut(True), CUT_DDL)
-    of_text = texts.select("key", "ord").join(cut.select("key", F.col("kept").alias("left_")), "key", "left")
-    joined = keyed_docs.join(of_text, keyed_docs["k_"] == of_text["key"], "left")
-    joined = joined.where(F.col("key").isNull() | (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_FIRST)) == F.col("ord")))
-    nth = F.row_number().over(Window.partitionBy("k_").orderBy(F.lit(0)))
-    joined = joined.withColumn("n_", nth).where(F.col("key").isNull() | (F.col("n_") == 1))
-    joined = joined.where(F.col("left_").isNull() | (F.length("left_") > 0))
-    text = F.when(F.col("left_").isNull(), F.col("text")).otherwise(F.col("left_").cast("string"))
-    out = joined.withColumn("text", text)
+    of_text = texts.select("key", "ord").join(cut.select("key", F.col("kept").alias("left")), "key", "left")
+    joined = packed.join(of_text, packed["r_key"] == of_text["key"], "left")
+    joined = joined.where(F.col("key").isNull() | (F.coalesce("r_doc", F.lit(NULL_FIRST)) == F.col("ord")))
+    nth = F.row_number().over(Window.partitionBy("r_key").orderBy(F.lit(0)))
+    joined = joined.withColumn("nth", nth).where(F.col("key").isNull() | (F.col("nth") == 1))
+    joined = joined.where(F.col("left").isNull() | (F.length("left") > 0))
+    text = F.when(F.col("left").isNull(), F.col("r_text")).otherwise(F.col("left").cast("string"))
+    row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("left_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast("long")))
+    return joined.select(row.alias("row")).select("row.*")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
