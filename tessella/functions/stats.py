@@ -57,7 +57,7 @@ def with_bh_q(rows: DataFrame, p: str, q: str = "q", by: list[str] | None = None
     at_most = up.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_raw", F.when(F.col("_v"), F.col(p) * F.count("*").over(Window.partitionBy(*keys)) / F.count("*").over(at_most)))
     onward = up.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumn(q, F.least(F.min("_raw").over(onward), F.lit(1.0))).drop("_v", "_raw")
+    return rows.withColumn(q, F.when(F.col("_v"), F.least(F.min("_raw").over(onward), F.lit(1.0)))).drop("_v", "_raw")
 
 
 def pooled_q(observed: DataFrame, null: DataFrame, reps: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 
-def local_alignment(a: list[str], b: list[str], weight: dict[str, float] | None = None, mismatch: float = 1.0, gap: float = 0.5) -> tuple[float, list[tuple[int, int]]]:
+def local_alignment(a: list[str], b: list[str], weight: dict[str, float] | None = None, mismatch: float = 1.0, gap: float = 1.5) -> tuple[float, list[tuple[int, int]]]:
     """The best local alignment of two token lists: its score and the matched places.
 
     A match earns the token's weight (1 if unknown). Of equal cells the first in reading order ends the alignment; going

@@ -1 +1 @@
-
+"""Streams: the same analyses on unbounded inputs."""
