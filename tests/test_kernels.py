@@ -152,3 +152,13 @@ def test_formula_weights_and_closed(spark):
     assert {(r["ngram"], r["n_docs"]) for r in lexical.closed(grams).collect()} == {("a b c d", 3), ("a b c", 4)}
     weights = lexical.formula_weights(docs, grams.where("n = 3"), 0.2)
     assert {r["idx"]: r["weight"] for r in weights.where("doc_id = 9").collect()} == {0: 1.0, 1: 0.2, 2: 0.2, 3: 0.2}
+
+
+def test_segment_measures():
+    from tessella.operators import segments
+
+    assert segments.gap_cosines([["a"], ["a"], ["b"]], 1) == [1.0, 0.0]
+    assert segments.depths([0.9, 0.1, 0.5]) == pytest.approx([0.0, 1.2, 0.0])
+    assert segments.pk([0, 1, 0, 0], [0, 0, 0, 1], 2) == pytest.approx(1.0)
+    assert segments.window_diff([0, 1, 1, 0], [0, 1, 0, 0], 2) == pytest.approx(2 / 3)
+    assert math.isnan(segments.pk([0], [0], 2))
