@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BATCH = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,8 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "/tmp/tessella-checkpoint"
 
 
+#: What this process has written to the shared folder.
+WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this process has written to the shared folder; results that were not stored elsewhere are gone after it."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

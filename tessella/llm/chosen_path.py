@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import fresh_path, shuffle_partitions, table, to_batch, written
+from tessella.llm._common import fresh_path, short_batches, shuffle_partitions, table, to_batch, written
 from tessella.llm.words import mixed, shingle_hashes
 
 SIMILARITY, RECALL, SMALL, DEPTH, BLOCK, SKETCH_BINS, SKETCH_MARGIN, SKETCH_LEAST = 0.8, 0.9999, 2048, 4, 512, 512, 0.2, 128
@@ -323,6 +323,7 @@ def components(edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), class_id, copy_id (least ids of the linked, and of equal sets), n_links, leader (whether the row is the one of its class to keep)."""
     spark = docs.sparkSession
+    short_batches(spark)
     slots = shuffle_partitions(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))

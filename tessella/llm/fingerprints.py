@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import shuffle_partitions, table, texts_of, to_batch, written
+from tessella.llm._common import short_batches, shuffle_partitions, table, texts_of, to_batch, written
 from tessella.llm.words import mixed, shingle_hashes
 
 BINS, BITS = 512, 4
@@ -133,6 +133,7 @@ def _between(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For every document its fingerprint, that of its edited text, and how near those and its next neighbour are."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     made = written(ordered.mapInArrow(_within, DDL), "fingerprints")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import table, texts_of, to_batch, written
+from tessella.llm._common import short_batches, table, texts_of, to_batch, written
 from tessella.llm.pretokens import encoder
 
 LENGTH, END_ID, OPEN_WINDOWS, LEAST_PIECE = 4096, 2, 64, 16
@@ -171,6 +171,7 @@ def _merge_groups(length: int, level: int, last: bool, keep_ids: bool):
 
 def pack(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, least_piece: int = LEAST_PIECE, keep_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (null unless ``keep_ids``)."""
+    short_batches(docs.sparkSession)
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

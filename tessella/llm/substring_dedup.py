@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import fresh_path, shuffle_partitions, table, to_batch, written
+from tessella.llm._common import fresh_path, short_batches, shuffle_partitions, table, to_batch, written
 from tessella.llm.anchors import SPAN, segments
 from tessella.llm.suffixes import PADDING, common_prefixes, suffix_array
 
@@ -216,6 +216,7 @@ def merged(pairs: np.ndarray) -> np.ndarray:
 def covered(texts: DataFrame) -> DataFrame:
     """key and the covered stretches (pairs of unsigned 32-bit numbers, unsorted) of each distinct text that has any."""
     spark = texts.sparkSession
+    short_batches(spark)
     slots = shuffle_partitions(spark)
     packed = texts.select("key", "ord", "text").mapInArrow(_segments_of(slots), PACKED_DDL)
     compared = written(packed.repartition(slots, "slot").mapInArrow(_compare, FOUND_DDL), "segments-compared")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import per_batch, table, texts_of, to_batch
+from tessella.llm._common import per_batch, short_batches, table, texts_of, to_batch
 from tessella.llm.pretokens import Touching, encoder
 
 LIMIT = 2048
@@ -81,6 +81,7 @@ class TwoTiers(dict):
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens above ``limit``), a row a document."""
     spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces_of = encoder(vocabulary)
     known = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import fresh_path, per_batch, shuffle_partitions, table, texts_of, to_batch
+from tessella.llm._common import fresh_path, per_batch, short_batches, shuffle_partitions, table, texts_of, to_batch
 from tessella.llm.pretokens import encoder
 
 END_ID = 2
@@ -56,6 +56,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
             yield to_batch({"doc_id": batch.column("doc_id"), "shard": np.full(len(texts), shard, "i4"), "start_in_shard": at + offsets[:-1], "n_tokens": sizes, "ids": ids}, FILE_SCHEMA)
             at += int(offsets[-1])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(encode, FILE_DDL)

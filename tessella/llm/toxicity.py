@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import per_batch, table, texts_of, to_batch, written
+from tessella.llm._common import per_batch, short_batches, table, texts_of, to_batch, written
 
 SAMPLE, MOST_FEATURES, LEAST_DOCS, LEAST_CHI2, MARKED_LOG_ODDS = 10_000, 4096, 8, 20.0, 2.0
 GRADES, GRADE_2, GRADE_3 = 4, 3, 6
@@ -193,6 +193,7 @@ REJECT_AT = 0.5
 
 def without_toxic(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFrame:
     """The rows of ``docs``, all columns, whose probability of grade 1 or more is under ``reject_at``."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
