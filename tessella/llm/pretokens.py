@@ -135,8 +135,8 @@ class PieceEncoder:
 
     def cut(self, text: str) -> tuple[str, list[str]]:
         """The beginning of a text, up to its first blank, and the pieces after it."""
-        first, *rest = text.split(" ")
-        return first, rest
+        rest = text.split(" ")
+        return rest.pop(0), rest
 
     def beginning(self, first: str) -> bytes:
         if not self.keeps_blanks:
