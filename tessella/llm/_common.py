@@ -47,10 +47,12 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` cut from its lineage: written as Parquet in the shared folder and read again."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` cut from its lineage: written as Parquet in the shared folder and read again. With ``keep``, ``release`` leaves it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if keep:
+        WRITTEN.remove(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
