@@ -1,7 +1,7 @@
 """A corpus from documents: toxic ones out, one of each group of near copies, repeated passages cut, sources mixed, packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``; ``n_chars`` follows the text where it changes.
+one's ``docs``, so a stage first deletes what earlier ones put aside in the shared folder. All but the last return the columns of ``documents``; ``n_chars`` follows the text where it changes.
 """
 
 from __future__ import annotations
@@ -10,32 +10,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import chosen_path, mixing, packing, substring_dedup, toxicity
-from tessella.llm._common import table, written
+from tessella.llm._common import release, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of grade 1 or more is under one half, by a model fitted on labelled ones of ``docs``."""
+    release(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of documents linked at a Jaccard similarity of 0.8 or more."""
+    release(spark)
     return chosen_path.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier; documents of which nothing is left go."""
+    release(spark)
     return substring_dedup.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mixture takes a document."""
+    release(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences of at most 4096 ids."""
+    release(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
@@ -56,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs, f"pipeline-{name}")
+            docs = written(docs, f"pipeline-{name}", keep=True)
     return docs
