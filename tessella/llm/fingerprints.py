@@ -29,10 +29,18 @@ LOW = np.uint8((1 << BITS) - 1)
 EDGES = np.arange(BINS, dtype="u8") << np.uint64(64 - (BINS - 1).bit_length())
 
 
-@lru_cache(maxsize=64)
-def _attempt(n: int) -> np.ndarray:
-    """The bin that each bin asks at its attempt ``n``."""
-    return (mixed(np.arange(BINS, dtype="u8") * np.uint64(1_000_003) + np.uint64(n + 1)) >> np.uint64(64 - (BINS - 1).bit_length())).astype("i8")
+#: Attempts that are laid down beforehand; by then each bin has asked every other one, but for a chance of 1e-4.
+ATTEMPTS = 16_384
+
+
+@lru_cache(maxsize=1)
+def first_asked() -> np.ndarray:
+    """At which attempt a bin (line) first asks another one (column), as a hash of the bin's number and the attempt picks them."""
+    bins = np.arange(BINS, dtype="u8")
+    out = np.full((BINS, BINS), ATTEMPTS, "i2")
+    for n in range(ATTEMPTS - 1, -1, -1):
+        out[bins.astype("i8"), (mixed(bins * np.uint64(1_000_003) + np.uint64(n + 1)) >> np.uint64(64 - (BINS - 1).bit_length())).astype("i8")] = n
+    return out
 
 
 def fingerprint(text: str) -> bytes:
@@ -44,12 +52,9 @@ def fingerprint(text: str) -> bytes:
     at = np.searchsorted(hashes, EDGES)
     full = np.append(at[1:], len(hashes)) > at
     values = hashes[np.minimum(at, len(hashes) - 1)]
-    empty, tries = np.flatnonzero(~full), 0
-    while len(empty):
-        asked = _attempt(tries)[empty]
-        found = full[asked]
-        values[empty[found]] = values[asked[found]]
-        empty, tries = empty[~found], tries + 1
+    empty, filled = np.flatnonzero(~full), np.flatnonzero(full)
+    if len(empty):
+        values[empty] = values[filled[first_asked()[np.ix_(empty, filled)].argmin(axis=1)]]
     # copies of one hash show other bits in each bin, so that unlike hashes agree by chance bin by bin
     bits = mixed(values ^ EDGES).astype("u1") & LOW
     return (bits[0::2] << BITS | bits[1::2]).tobytes()
