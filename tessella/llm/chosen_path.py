@@ -4,8 +4,9 @@ Texts are sets of runs of five words; two are linked at a Jaccard similarity of
 are one set with a weight. A set takes each of its tokens as a branch with probability 1 / (0.8 * its size), by a
 hash that all sets share, so similar sets tend to take the same branches. That is done for ``runs`` runs. A
 branch that one set alone took ends there; one with at most ``SMALL`` sets is a bucket; a larger one is split
-again, on tokens sampled anew below it, ``DEPTH`` levels down at most, and is a bucket there whatever its size. The
-number of runs is such that a pair at the very threshold, split as often as may be, is missed with a
+again, on tokens sampled anew below it, ``DEPTH`` levels down at most, and is a bucket there whatever its size. A set of
+fewer tokens than branches are asked for takes each token once, and goes down each of those below a large branch as
+often (``REPEATS``) as the shared tokens that it is sure to have ask for. The number of runs is such that a pair at the very threshold, split as often as may be, is missed with a
 probability of at most 1 - ``RECALL``; pairs of higher similarity or fewer splits are missed far less often.
 
 A bucket is brute-forced in blocks of ``BLOCK`` sets: a pair counts in the least of the buckets that it shares
@@ -50,6 +51,26 @@ def survival(depth: int) -> float:
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(DEPTH)))
 
 
+def _repeats() -> list[int]:
+    """For each size of a set up to that from which tokens are sampled: how often it goes down each branch of a split bucket.
+
+    A token is the branch of one run only, so a short set has fewer branches than runs: a pair whose larger set has
+    ``size`` tokens may share no more than ``shared``. Never rises with the size, so that a pair shares the repeats of its larger set.
+    """
+    out = [1]
+    for size in range(math.ceil(RUNS / SIMILARITY), 0, -1):
+        shared = (4 * size + 4) // 5  # in whole numbers, as 0.8 is
+        alive, taken = 1.0, min(1.0, 1 / (SIMILARITY * size))
+        for _ in range(DEPTH - 1):
+            alive = 1 - (1 - taken * alive) ** shared
+        needed = 1 if alive == 1 else math.ceil(math.log(1 - RECALL) / (shared * math.log(1 - alive)))
+        out.append(max(out[-1], needed))
+    return out[::-1]
+
+
+REPEATS = _repeats()
+
+
 def tokens_of(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text))
 
@@ -61,8 +82,11 @@ def first_branches(tokens: np.ndarray, runs: int = RUNS) -> np.ndarray:
 
 
 def deeper(tokens: np.ndarray, branch: int, depth: int) -> np.ndarray:
-    """The ends of the paths below a branch."""
+    """The ends of the paths below a branch, of all its repeats."""
     ends = np.array([branch], "u8")
+    if len(tokens) < len(REPEATS):
+        # the first goes down from the branch itself, as that of long sets
+        ends = np.concatenate([ends, mixed(ends + np.arange(1, REPEATS[max(0, len(tokens) - 1)], dtype="u8") * np.uint64(0xD6E8FEB86659FD93))])
     least = 1 / (SIMILARITY * len(tokens))
     for level in range(1, depth):
         if not len(ends):

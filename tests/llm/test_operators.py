@@ -109,6 +109,29 @@ def test_large_buckets_are_split_and_blocked(spark, monkeypatch):
     assert bag((r["doc_id"], r["n_links"]) for r in chosen_path.links(table(spark, rows)).collect()) == bag(want)
 
 
+def test_short_sets_are_found_in_large_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    missed, of = 0, 0
+    for size in (5, 6, 8, 10, 12, 15, 20, 25, 29, 31, 35):
+        for _ in range(150):
+            larger = rng.integers(0, 2**64, size, "u8")
+            smaller = larger[: -(-4 * size // 5)] if rng.integers(2) else np.r_[larger[: (8 * size + 8) // 9], rng.integers(0, 2**64, size - (8 * size + 8) // 9, "u8")]
+            ends = []
+            for tokens in (larger, smaller):
+                branches = chosen_path.first_branches(tokens)
+                ends.append({int(e) for b in branches for e in chosen_path.deeper(tokens, int(b), chosen_path.DEPTH)})
+            missed, of = missed + (not ends[0] & ends[1]), of + 1
+    assert missed <= 2, (missed, of)  # 0.2 are expected
+    # a line that all texts have, and one word more in each
+    line = "one line that very many texts have in"
+    rows = [(0, line), *((i, f"{line} x{i}") for i in range(1, 301))]
+    monkeypatch.setattr(chosen_path, "SMALL", 5)
+    sets = [shingles(t) for _, t in rows]
+    want = [(i, sum(5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)]
+    assert want[0] == (0, 300)
+    assert bag((r["doc_id"], r["n_links"]) for r in chosen_path.links(table(spark, rows)).collect()) == bag(want)
+
+
 def test_token_files(spark, rows, docs, empty, tmp_path):
     library = Tokenizer.from_file(BYTE)
     path = f"file://{tmp_path}/ids"
