@@ -132,6 +132,32 @@ def test_short_sets_are_found_in_large_buckets(spark, monkeypatch):
     assert bag((r["doc_id"], r["n_links"]) for r in chosen_path.links(table(spark, rows)).collect()) == bag(want)
 
 
+@pytest.mark.parametrize("size", [128, 144, 192])
+def test_sketches_keep_pairs_at_the_threshold(size):
+    rng = np.random.default_rng(size)
+    shared, lost = -(-8 * size // 9), 0
+    for _ in range(10_000):
+        tokens = rng.integers(0, 2**64, 2 * size - shared, "u8")
+        a, b = (np.frombuffer(chosen_path.sketch(x), "u8") for x in (tokens[:size], tokens[size - shared :]))
+        lost += 1 - 2 * int(np.bitwise_count(a ^ b).sum()) / chosen_path.SKETCH_BINS < chosen_path.sketch_needs(np.array([size]))[0]
+    assert lost <= 1
+
+
+def test_far_sketches_of_linked_sets_are_fetched():
+    """Two texts that are linked, whose estimate is under 0.6: one task's bucket marks both."""
+    for seed in range(5000):
+        rng = np.random.default_rng(seed)
+        x = np.sort(rng.integers(0, 2**64, 142, "u8"))
+        order = rng.permutation(142)
+        a, b = np.sort(x[order[:128]]), np.sort(x[order[14:]])
+        unlike = sum(int(np.bitwise_count(u ^ v)) for u, v in zip(*(np.frombuffer(chosen_path.sketch(y), "u8") for y in (a, b)), strict=True))
+        if 1 - 2 * unlike / 512 < 0.58:
+            break
+    paths = [np.array([7], "u8")] * 2
+    batch = chosen_path._deal(1, paths, [1, 2], weights=[np.int64(1).tobytes()] * 2, sizes=[np.uint32(128).tobytes()] * 2, sketches=[chosen_path.sketch(y) for y in (a, b)], n_paths=[np.uint32(1).tobytes()] * 2, paths=[p.tobytes() for p in paths])
+    assert [i for out in chosen_path._own([batch]) for i in out.column("id").to_pylist()] == [1, 2]
+
+
 def test_token_files(spark, rows, docs, empty, tmp_path):
     library = Tokenizer.from_file(BYTE)
     path = f"file://{tmp_path}/ids"
