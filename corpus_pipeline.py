@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage can be stated in SQL as a whole; the tests hold each against a brute-force version.
+#: No stage can be stated in SQL as a whole; the tests hold the operators against brute force, and of the stages only row counts and columns.
 ORACLE_SQL = None
 
 
