@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BATCH = 512
 
 
+#: Bytes of a batch on its way to a Python worker, beside the number of rows.
+BYTES_PER_BATCH = 32 << 20
+
+
 def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """Bounds the session's Arrow batches, where they are larger. A plan reads these settings when it runs, so they stay."""
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,39 +32,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a folder of our own is used.
+    Where that is unset, a folder of our own is used if all executors are threads of this machine; else it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or "/tmp/tessella-checkpoint"
 
 
-#: What this process has written to the shared folder.
-WRITTEN: list[str] = []
+class Scope:
+    """What operators that are called within it put aside; ``release`` deletes that, and nothing else.
+
+    Results are lazy, so a scope is released by its owner when those have been stored elsewhere. What is put aside outside
+    of any scope is never deleted here.
+    """
+
+    current: list[Scope] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def __enter__(self) -> Scope:
+        Scope.current.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scope.current.remove(self)
+
+    def release(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths, self.tables = [], []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    if Scope.current:
+        Scope.current[-1].paths.append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this process has written to the shared folder; results that were not stored elsewhere are gone after it."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` cut from its lineage: written as Parquet in the shared folder and read again. With ``keep``, ``release`` leaves it."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` cut from its lineage: written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if keep:
-        WRITTEN.remove(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``written``, bucketed by ``key`` so that joins by it don't move the rows."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
+    if Scope.current:
+        Scope.current[-1].tables.append(name)
+    df.write.bucketBy(shuffle_partitions(spark), key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

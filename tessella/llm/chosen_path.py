@@ -25,7 +25,6 @@ each other; null ids are as any other, and least; an empty table gives no rows;
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import fresh_path, short_batches, shuffle_partitions, table, to_batch, written
+from tessella.llm._common import bucketed, short_batches, shuffle_partitions, table, to_batch, written
 from tessella.llm.words import mixed, shingle_hashes
 
 SIMILARITY, RECALL, SMALL, DEPTH, BLOCK, SKETCH_BINS, SKETCH_MARGIN, SKETCH_LEAST, SKETCH_ERRORS = 0.8, 0.9999, 2048, 4, 512, 512, 0.2, 128, 5.5
@@ -363,10 +362,7 @@ def links(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
     first = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(NULL_FIRST))).alias("ord"), F.count("*").alias("m"), F.first("text").alias("text"))
-    name = f"texts_{uuid.uuid4().hex}"
-    # bucketed, so that the joins by key below don't move texts
-    first.write.bucketBy(slots, "key").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(first, "texts", "key")
 
     sets = written(texts.select("key", "ord", "m", "text").mapInArrow(_sets, SETS_DDL), "sets")
     of_set = sets.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("ord", "key", "branches")).alias("r"), F.sum("m").alias("weight"))

@@ -20,14 +20,13 @@ other columns are ignored by ``covered`` and kept by ``without_repeats``.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import fresh_path, short_batches, shuffle_partitions, table, to_batch, written
+from tessella.llm._common import bucketed, short_batches, shuffle_partitions, table, to_batch, written
 from tessella.llm.anchors import SPAN, segments
 from tessella.llm.suffixes import PADDING, common_prefixes, suffix_array
 
@@ -49,11 +48,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
     """key, ord (the least doc_id), text: one row a text, bucketed by key so that joins by it don't move texts."""
-    spark = rows.sparkSession
     first = rows.where(F.length("text") >= SPAN).groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(NULL_FIRST))).alias("ord"), F.first("text").alias("text"))
-    name = f"texts_{uuid.uuid4().hex}"
-    first.write.bucketBy(shuffle_partitions(spark), "key").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(first, "texts", "key")
 
 
 def _laid(batches):
