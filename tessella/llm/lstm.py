@@ -44,6 +44,27 @@ class Tagger:
         back, _ = self._run(x, mask, "b", False)
         return np.concatenate([ahead, back, x], axis=2) @ self.p["out"] + self.p["bias"]
 
+    def scores_in_parts(self, parts: list) -> np.ndarray:
+        """Of one sequence whose steps come from functions, a part at a time: only what the gates need of them is kept."""
+        k = self.h
+        from_x, plain = {d: [] for d in "fb"}, []
+        for part in parts:
+            x = part()
+            for d in "fb":
+                from_x[d].append(x @ self.p[f"x{d}"] + self.p[f"c{d}"])
+            plain.append(x @ self.p["out"][2 * k :])
+        out = np.concatenate(plain) + self.p["bias"]
+        for j, d in enumerate("fb"):
+            given = np.concatenate(from_x.pop(d))
+            h, c, to_out = np.zeros(k, "f4"), np.zeros(k, "f4"), self.p["out"][j * k : (j + 1) * k]
+            for i in range(len(given)) if d == "f" else range(len(given) - 1, -1, -1):
+                z = given[i] + h @ self.p[f"h{d}"]
+                gate = logistic(z[: 3 * k])
+                c = gate[k : 2 * k] * c + gate[:k] * np.tanh(z[3 * k :])
+                h = gate[2 * k :] * np.tanh(c)
+                out[i] += h @ to_out
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
         seen = np.concatenate([runs["f"][0], runs["b"][0], x], axis=2)
