@@ -31,7 +31,7 @@ from tessella.llm.anchors import SPAN, segments
 from tessella.llm.suffixes import PADDING, common_prefixes, suffix_array
 
 #: Bytes of text that are laid end to end at once.
-LAID = 4 << 20
+LAID = 2 << 20
 NULL_FIRST = -(2**63)
 
 PACKED = pa.schema([(n, pa.binary() if n != "slot" else pa.int32()) for n in ("slot", "keys", "ords", "doc", "first", "count", "anchor", "content", "bytes")])
@@ -242,15 +242,29 @@ def _cut(keep_text: bool):
     return run
 
 
-def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two tables: documents (doc_id, key, n_bytes, first_: whether it is the first of its equals), and what is cut from first ones that have any (``CUT_DDL``)."""
-    rows = keyed(docs)
-    texts = distinct_texts(rows)
+def _firsts(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """key, ord of the first document of each text of ``SPAN`` bytes or more, with what is cut from it (``CUT_DDL``, null if nothing)."""
+    texts = distinct_texts(keyed(docs))
     cut = texts.join(covered(texts), "key").select("key", "text", "stretches").mapInArrow(_cut(keep_text), CUT_DDL)
-    by_row = rows.groupBy("key", "doc_id", F.length("text").cast("long").alias("n_bytes")).agg(F.count("*").cast("int").alias("n"))
-    first = by_row.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(NULL_FIRST))).alias("ord"))
-    each = by_row.join(first, "key").withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
-    return each.select("doc_id", "key", "n_bytes", ((F.col("i") == 1) & (F.coalesce("doc_id", F.lit(NULL_FIRST)) == F.col("ord"))).alias("first_")), cut
+    return texts.select("key", "ord").join(cut, "key", "left").withColumn("held_", F.lit(True))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin and end of each removed run) of every document.
+
+    A text's first document is met by key and id together, so copies, which need nothing but their length, never meet in one task.
+    """
+    firsts = _firsts(docs, False).withColumnsRenamed({"key": "f_key", "ord": "f_ord"})
+    by_row = keyed(docs).groupBy("key", "doc_id", F.length("text").cast("long").alias("n_bytes")).agg(F.count("*").cast("int").alias("n"))
+    each = by_row.join(firsts, (by_row["key"] == firsts["f_key"]) & (F.coalesce("doc_id", F.lit(NULL_FIRST)) == firsts["f_ord"]), "left")
+    each = each.withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
+    whole = ~(F.col("held_").isNotNull() & (F.col("i") == 1)) & (F.col("n_bytes") >= SPAN)
+    none = F.array().cast("array<bigint>")
+    n_removed = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    n_spans = F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0)))
+    sha = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("key"))))
+    spans = F.when(whole, F.array(F.lit(0).cast("long"), F.col("n_bytes"))).otherwise(F.coalesce("spans", none))
+    return each.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), n_spans.cast("long").alias("n_spans"), sha.alias("kept_sha256"), spans.alias("spans"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -259,28 +273,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A row goes when nothing is left of a text that had something. Of a character that a cut goes through, nothing is kept.
     """
     # further columns may have any names
-    packed = docs.select(F.col("doc_id").cast("long").alias("r_doc"), F.col("text").alias("r_text"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).alias("r_key"), F.struct("*").alias("row"))
-    texts = distinct_texts(keyed(docs))
-    cut = texts.join(covered(texts), "key").select("key", "text", "stretches").mapInArrow(_cut(True), CUT_DDL)
-    of_text = texts.select("key", "ord").join(cut.select("key", F.col("kept").alias("left")), "key", "left")
-    joined = packed.join(of_text, packed["r_key"] == of_text["key"], "left")
-    joined = joined.where(F.col("key").isNull() | (F.coalesce("r_doc", F.lit(NULL_FIRST)) == F.col("ord")))
-    nth = F.row_number().over(Window.partitionBy("r_key").orderBy(F.lit(0)))
-    joined = joined.withColumn("nth", nth).where(F.col("key").isNull() | (F.col("nth") == 1))
-    joined = joined.where(F.col("left").isNull() | (F.length("left") > 0))
-    text = F.when(F.col("left").isNull(), F.col("r_text")).otherwise(F.col("left").cast("string"))
+    as_bytes = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_FIRST)).alias("r_ord"), F.col("text").alias("r_text"), (F.length(as_bytes) < SPAN).alias("r_short"), F.unhex(F.sha2(as_bytes, 256)).alias("r_key"), F.struct("*").alias("row"))
+    firsts = _firsts(docs, True).select("key", "ord", "held_", F.col("kept").alias("left_"))
+    joined = packed.join(firsts, (packed["r_key"] == firsts["key"]) & (packed["r_ord"] == firsts["ord"]), "left").where("r_short or held_")
+    # rows with the first one's id and text are its copies
+    nth = F.row_number().over(Window.partitionBy("r_key", "r_ord").orderBy(F.lit(0)))
+    joined = joined.withColumn("nth_", nth).where("r_short or nth_ = 1")
+    joined = joined.where(F.col("left_").isNull() | (F.length("left_") > 0))
+    text = F.when(F.col("left_").isNull(), F.col("r_text")).otherwise(F.col("left_").cast("string"))
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast("long")))
+        row = row.withField("n_chars", F.when(F.col("left_").isNull(), F.col("row.n_chars")).otherwise(F.length(text).cast("long")))
     return joined.select(row.alias("row")).select("row.*")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut = repeats(table(spark, sf_dir, "documents"))
-    cut = cut.drop("kept", "spans").withColumn("first_", F.lit(True))
-    whole = ~F.col("first_") & (F.col("n_bytes") >= SPAN)
-    rows = docs.join(cut, ["key", "first_"], "left")
-    n_removed = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    n_spans = F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0)))
-    sha = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("key"))))
-    return rows.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), n_spans.cast("long").alias("n_spans"), sha.alias("kept_sha256"))
+    return repeats(table(spark, sf_dir, "documents")).drop("spans")

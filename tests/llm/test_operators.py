@@ -51,28 +51,30 @@ def bag(xs):
     return sorted(xs, key=repr)
 
 
-def test_repeats_are_cut(spark, rows, docs, empty):
-    got = substring_dedup.repeats(docs)
-    each, cut = (x.collect() for x in got)
-    cut = {bytes(r["key"]): r for r in cut}
-    ordered = sorted(((d if d is not None else -(2**63), hashlib.sha256((t or "").encode()).digest(), (t or "").encode()) for d, t in rows))
-    seen, want = set(), []
-    for _, key, b in ordered:
-        covered = np.zeros(len(b), bool)
+def cut_by_hand(rows):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 by a set of all 100-byte strings that started earlier."""
+    ordered = sorted(((d if d is not None else -(2**63), hashlib.sha256((t or "").encode()).digest(), (t or "").encode(), d) for d, t in rows), key=lambda x: x[:3])
+    seen, out = set(), []
+    for _, _, b, d in ordered:
+        gone = np.zeros(len(b) + 2, bool)
         for i in range(len(b) - 99):
             if b[i : i + 100] in seen:
-                covered[i : i + 100] = True
+                gone[i + 1 : i + 101] = True
             seen.add(b[i : i + 100])
-        want.append((key, int(covered.sum())))
-    found = []
-    for r in each:
-        key, n = bytes(r["key"]), r["n_bytes"]
-        found.append((key, n if not r["first_"] and n >= 100 else (cut[key]["n_removed"] if r["first_"] and key in cut else 0)))
-    assert bag(found) == bag(want)
+        kept = np.frombuffer(b, "u1")[~gone[1:-1]].tobytes()
+        out.append((d, len(b), len(b) - len(kept), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_are_cut(spark, rows, docs, empty, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = substring_dedup.op1_suffix_dedup(spark, str(tmp_path))
+    assert bag(map(tuple, got.collect())) == bag(cut_by_hand(rows))
     left = substring_dedup.without_repeats(docs)
     assert left.columns == docs.columns
     assert left.where("text is null").count() == 2
     assert substring_dedup.without_repeats(empty).count() == 0
+    assert substring_dedup.repeats(empty).count() == 0
 
 
 def shingles(t):
@@ -222,24 +224,6 @@ def test_fingerprints(rows, docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
-def test_mixing(rows, docs, empty):
-    got = mixing.chosen(docs.select("doc_id", "source", "text")).collect()
-    assert len(got) == len(rows)
-    by_source = {}
-    for r in got:
-        copies = len(r["drawn_"])
-        assert copies <= 3
-        assert len({d["round"] for d in r["drawn_"]}) == copies
-        size, taken = by_source.get(r["source"], (0, 0))
-        by_source[r["source"]] = size + r["size_"], taken + r["size_"] * copies
-        assert r["size_"] == len([w for w in (r["text"] or "").replace("\x85", "_").split() if w]) or r["doc_id"] == 16
-    mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns
-    first, again = (bag(map(tuple, mixing.mix(docs).select("doc_id", "n_chars").collect())) for _ in range(2))
-    assert first == again
-    assert mixing.mix(empty).count() == 0
-
-
 def test_targets_share_the_excess(spark):
     got = mixing.source_targets(spark.createDataFrame([("a", 10), ("b", 100), (None, 1000), ("c", 0)], "source string, words long")).collect()
     cap = {r["source"]: (r["words"] * 3, r["target"]) for r in got}
@@ -257,23 +241,20 @@ def test_targets_share_the_excess(spark):
     assert {s: round(x[1], 6) for s, x in cap.items()} == {s: round(x, 6) for s, x in target.items()}
 
 
-def test_splitting_tree_keeps_quotas():
-    quotas = {0: 17, 1: 400, 2: 0, 5: 3}
-    parts = mixing.splitting_tree(quotas, 8)
-    for source, n in quotas.items():
-        taken = sorted(i for s, _, a, b in parts if s == source for i in range(a, b + 1))
-        assert taken == list(range(n))
-
-
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(2)
     good = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 16]) for i in range(150)]
-    odd = [(200, None), (201, [None] * 6), (202, [float("nan")] * 6), (203, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [0.0] * 6), (204, []), (40, good[3][1])]
-    vectors = spark.createDataFrame([(i, v, 1, 2) for i, v in good + odd], "vec_id long, embedding array<float>, score int, rank int").repartition(3)
+    odd = [(200, None), (201, [None] * 6), (202, [float("nan")] * 6), (203, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [0.0] * 6), (40, good[3][1])]
+    odd[0] = (220, good[4][1])
+    lengths = [(300, [1.0, 1.0]), (301, [0.0, 0.0]), (320, [1.0, 1.0]), (340, []), (341, []), (200, None)]  # each length is searched by itself
+    vectors = spark.createDataFrame([(i, v, 1, 2) for i, v in good + odd + lengths], "vec_id long, embedding array<float>, score int, rank int").repartition(3)
     got = {}
     for r in topk.top_k(vectors, k=7).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    use = good + odd[-1:]
+    assert got.pop(300) == [(1, 320, 64 * 64 * 2), (2, 301, 0)]
+    assert got.pop(340) == [(1, 341, 0)]
+    assert got.pop(320) == [(1, 300, 64 * 64 * 2), (2, 301, 0)]
+    use = good + odd[:1] + odd[-1:]
     ints = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in use]
     want = {}
     for n, (i, v) in enumerate(ints):
@@ -282,6 +263,13 @@ def test_topk(spark):
             want.setdefault(i, []).extend((r + 1, j, -s) for r, (s, j) in enumerate(best))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert topk.top_k(vectors.limit(0)).count() == 0
+    for size in (7, 16):  # many blocks past one block of queries
+        monkeypatch.setattr(topk, "CANDIDATE_BLOCK", size)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+        again = {}
+        for r in topk.top_k(vectors, k=7).where("query_id < 300").collect():
+            again.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert {k: sorted(v) for k, v in again.items()} == {k: sorted(v) for k, v in want.items()}
     huge = spark.createDataFrame([(i, [float(2**25 + i), 1.0, 2.0**24]) for i in range(0, 60, 5)], "vec_id long, embedding array<double>")
     exact = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(huge, k=3).collect()}
     assert all(s == (64 * (2**25 + a)) * (64 * (2**25 + b)) + 64 * 64 + (2**30) ** 2 for (a, b), s in exact.items())
@@ -336,17 +324,6 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
-def test_html_on_held_out_pages():
-    model, rng, wrong, n = html_text.trained(), np.random.default_rng(12_345), 0, 0
-    for _ in range(120):
-        found, labels = html_text.made_up_page(rng)
-        if found:
-            scores = model.scores(*html_text.padded([html_text.vectors(found)]))[:, 0]
-            wrong += int(((scores > 0) != (labels > 0)).sum())
-            n += len(labels)
-    assert wrong <= 0.02 * n
-
-
 def test_lstm_gradients():
     from tessella.llm.lstm import Tagger, logistic
 
