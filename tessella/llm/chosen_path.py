@@ -116,8 +116,8 @@ def sketch_needs(sizes: np.ndarray) -> np.ndarray:
 
 # --- rows between tasks: segments of arrays, packed by slot ---
 
-SETS = pa.schema([("key", pa.binary()), ("ord", pa.int64()), ("m", pa.int64()), ("set_key", pa.binary()), ("branches", pa.binary())])
-SETS_DDL = "key binary, ord long, m long, set_key binary, branches binary"
+SETS = pa.schema([("key", pa.binary()), ("ord", pa.int64()), ("m", pa.int64()), ("set_key", pa.binary()), ("branches", pa.binary()), ("salts", pa.list_(pa.int32()))])
+SETS_DDL = "key binary, ord long, m long, set_key binary, branches binary, salts array<int>"
 DEALT = pa.schema([("slot", pa.int32()), *((n, pa.binary()) for n in ("path", "of", "ids", "weights", "sizes", "sketches", "n_paths", "paths", "tokens"))])
 DEALT_DDL = "slot int, path binary, of binary, ids binary, weights binary, sizes binary, sketches binary, n_paths binary, paths binary, tokens binary"
 ANSWER = pa.schema([("id", pa.int64()), ("small", pa.binary()), ("large", pa.binary())])
@@ -128,14 +128,14 @@ LINKED = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64
 def _sets(batches):
     for batch in batches:
         keys, ords, ms, texts = (batch.column(n).to_pylist() for n in ("key", "ord", "m", "text"))
-        out = {f.name: [] for f in SETS}
+        out = {f.name: [] for f in SETS if f.name != "salts"}
         for key, o, m, text in zip(keys, ords, ms, texts, strict=True):
             tokens = tokens_of(text)
             branches = first_branches(tokens) if len(tokens) else tokens
             set_key = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
             for column, v in zip(out.values(), (key, o, m, set_key, branches.tobytes()), strict=True):
                 column.append(v)
-        yield to_batch(out, SETS)
+        yield to_batch(out | {"salts": batch.column("salts")}, SETS)
 
 
 def _deal(slots: int, ends: list[np.ndarray], ids: list[int], **each: list[bytes]):
@@ -354,6 +354,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def salt(column: str, slots: int):
+    """Which of ``slots`` parts of its group a row belongs to."""
+    return F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), class_id, copy_id (least ids of the linked, and of equal sets), n_links, leader (whether the row is the one of its class to keep)."""
     spark = docs.sparkSession
@@ -361,12 +366,12 @@ def links(docs: DataFrame) -> DataFrame:
     slots = shuffle_partitions(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
-    first = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(NULL_FIRST))).alias("ord"), F.count("*").alias("m"), F.first("text").alias("text"))
+    first = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(NULL_FIRST))).alias("ord"), F.count("*").alias("m"), F.first("text").alias("text"), F.collect_set(salt("doc_id", slots)).alias("salts"))
     texts = bucketed(first, "texts", "key")
 
-    sets = written(texts.select("key", "ord", "m", "text").mapInArrow(_sets, SETS_DDL), "sets")
-    of_set = sets.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("ord", "key", "branches")).alias("r"), F.sum("m").alias("weight"))
-    reps = written(of_set.select(F.monotonically_increasing_id().alias("id"), "set_key", "weight", F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), F.col("r.branches").alias("branches")), "set-classes")
+    sets = written(texts.select("key", "ord", "m", "text", "salts").mapInArrow(_sets, SETS_DDL), "sets")
+    of_set = sets.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("ord", "key", "branches")).alias("r"), F.sum("m").alias("weight"), F.collect_set(salt("key", slots)).alias("salts"))
+    reps = written(of_set.select(F.monotonically_increasing_id().alias("id"), "set_key", "weight", "salts", F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), F.col("r.branches").alias("branches")), "set-classes")
 
     dealt = reps.select("id", "branches").mapInArrow(_first_deal(slots), DEALT_DDL).repartition(slots, "slot")
     answers = dealt.mapInArrow(_count, "id long, small binary, large binary").groupBy("id").agg(F.collect_list("small").alias("small"), F.collect_list("large").alias("large"))
@@ -379,13 +384,14 @@ def links(docs: DataFrame) -> DataFrame:
 
     roots = components(linked.select("id", "root"))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    per_set = reps.select("id", "set_key", "weight", "ord", "key").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = per_set.groupBy("root").agg(F.min(F.struct("ord", "key")).alias("head"))
-    per_set = per_set.join(heads, "root").select("set_key", F.col("ord").alias("copy_ord"), F.col("head.ord").alias("class_ord"), F.col("head.key").alias("head_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    per_text = sets.select("key", "set_key", "ord").join(per_set, "set_key", "left").drop("set_key")
-
-    by_row = rows.groupBy("key", "doc_id").agg(F.count("*").cast("int").alias("n"))
-    each = by_row.join(per_text, "key").withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
+    per_set = reps.select("id", "set_key", "weight", "ord", "key", "salts").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # whatever many rows join to is repeated for each salt that they have, so that no task gets all of them
+    heads = per_set.groupBy("root").agg(F.min(F.struct("ord", "key")).alias("head"), F.collect_set(salt("id", slots)).alias("s")).withColumn("salt", F.explode("s")).drop("s")
+    per_set = per_set.withColumn("salt", salt("id", slots)).join(heads, ["root", "salt"]).select("set_key", F.col("ord").alias("copy_ord"), F.col("head.ord").alias("class_ord"), F.col("head.key").alias("head_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.explode("salts").alias("salt"))
+    per_text = sets.select("key", "set_key", "salts", salt("key", slots).alias("salt")).join(per_set, ["set_key", "salt"], "left").drop("set_key", "salt").withColumn("salt", F.explode("salts")).drop("salts")
+
+    by_row = rows.groupBy("key", "doc_id").agg(F.count("*").cast("int").alias("n")).withColumn("salt", salt("doc_id", slots))
+    each = by_row.join(per_text, ["key", "salt"]).withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
     own = F.coalesce("doc_id", F.lit(NULL_FIRST))
     alone = F.col("class_ord").isNull()  # no words: not linked to anything
     back = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.when(F.col(c) != NULL_FIRST, F.col(c)))
