@@ -24,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of the younger half of a worker's caches. When it is full it becomes the older half, whose own entries go.
 PIECES_HELD, PRE_TOKENS_HELD = 250_000, 350_000
+#: The same for vocabularies of words, which have fewer pre-tokens as case is folded.
+WORD_PIECES_HELD, WORDS_HELD = 120_000, 150_000
 ENDS = frozenset(".,;:!?")
 PLAIN = regex.compile(r"[\t\n\r -~¡-ÿ]*")
 
@@ -94,10 +96,11 @@ class PieceEncoder:
         self.blank = self.alphabet[0x20]
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # what comes here is new to the worker
-        self.spaced = _Pieces(lambda word: self._pre_token(" " + word), PRE_TOKENS_HELD)
-        self.bare = _Pieces(self._pre_token, PRE_TOKENS_HELD)
+        pieces_held, held = (PIECES_HELD, PRE_TOKENS_HELD) if self.keeps_blanks else (WORD_PIECES_HELD, WORDS_HELD)
+        self.spaced = _Pieces(lambda word: self._pre_token(" " + word), held)
+        self.bare = _Pieces(self._pre_token, held)
         #: By the piece without the blank before it, where the vocabulary keeps blanks.
-        self.pieces = _Pieces(self._spaced_piece if self.keeps_blanks else self._word_piece, PIECES_HELD)
+        self.pieces = _Pieces(self._spaced_piece if self.keeps_blanks else self._word_piece, pieces_held)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -41,7 +41,7 @@ GRADES, GRADE_2, GRADE_3 = 4, 3, 6
 RIDGE, STEPS, RATE = 0.03, 600, 0.1
 WORDS = regex.compile(r"\w+")
 #: Besides whole words, their first letters are features, as inflected words share them.
-PREFIXES, WORDS_HELD = (4, 5, 6), 200_000
+PREFIXES, WORDS_HELD = (4, 5, 6), 60_000
 
 
 def words_of(text: str) -> list[str]:

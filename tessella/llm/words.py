@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SHINGLE_WORDS = 5
-WORDS_HELD = 300_000
+WORDS_HELD = 150_000
 #: An odd multiplier, and the multipliers and shifts of a well-known 64-bit finalizer.
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2, SHIFT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
