@@ -74,8 +74,8 @@ def pooled_q(observed: DataFrame, null: DataFrame, reps: int) -> DataFrame:
 def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Mutual information of two columns in bits, from their table of counts."""
     cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    cells = cells.select("n", total.alias("t"), F.sum("n").over(Window.partitionBy(a)).alias("na"), F.sum("n").over(Window.partitionBy(b)).alias("nb"))
+    cells = cells.crossJoin(F.broadcast(cells.agg(F.sum("n").alias("t"))))  # one row
+    cells = cells.select("n", "t", F.sum("n").over(Window.partitionBy(a)).alias("na"), F.sum("n").over(Window.partitionBy(b)).alias("nb"))
     return cells.agg(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi_bits"))
 
 

@@ -11,8 +11,9 @@ from tessella.functions.stats import chi2_tail, g2_two_by_two, g2_two_cells, wit
 def keyness(rows: DataFrame, unit: str, key: str, min_count: int) -> DataFrame:
     """Over-represented keys of each unit against the rest: unit, key, a, expected, g2; only a above its expectation."""
     counts = rows.groupBy(unit, key).agg(F.count("*").alias("a"))
-    whole = F.sum("a").over(Window.partitionBy())
-    sized = counts.withColumn("size_a", F.sum("a").over(Window.partitionBy(unit))).withColumn("all_key", F.sum("a").over(Window.partitionBy(key))).withColumn("n", whole)
+    sizes = counts.groupBy(unit).agg(F.sum("a").alias("size_a"))
+    whole = sizes.agg(F.sum("size_a").alias("n"))
+    sized = counts.withColumn("all_key", F.sum("a").over(Window.partitionBy(key))).join(sizes, unit).crossJoin(F.broadcast(whole))  # one row
     expected = F.col("size_a") * F.col("all_key") / F.col("n")
     g2 = g2_two_cells(F.col("a"), F.col("all_key") - F.col("a"), F.col("size_a"), F.col("n") - F.col("size_a"))
     return sized.where((F.col("a") >= min_count) & (F.col("a") > expected)).select(unit, key, "a", expected.alias("expected"), g2.alias("g2"))
@@ -22,8 +23,8 @@ def set_contrast(rows: DataFrame, in_a, in_b, key: str, min_count: int) -> DataF
     """Keys of set A against those of set B (rows in both count for A): counts, G2, p, q, log2 ratio with a half added, side."""
     side = F.when(in_a, "a").when(in_b, "b")
     counts = rows.withColumn("side", side).where("side is not null").groupBy(key).agg(F.count(F.when(F.col("side") == "a", 1)).alias("a"), F.count(F.when(F.col("side") == "b", 1)).alias("b"))
-    everything = Window.partitionBy()
-    counts = counts.withColumn("ta", F.sum("a").over(everything)).withColumn("tb", F.sum("b").over(everything)).where(F.col("a") + F.col("b") >= min_count)
+    totals = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    counts = counts.crossJoin(F.broadcast(totals)).where(F.col("a") + F.col("b") >= min_count)  # totals are one row
     g2 = g2_two_by_two(F.col("a"), F.col("b"), F.col("ta") - F.col("a"), F.col("tb") - F.col("b"))
     ratio = F.log2(((F.col("a") + 0.5) / (F.col("ta") + 0.5)) / ((F.col("b") + 0.5) / (F.col("tb") + 0.5)))
     out = counts.withColumn("g2", g2).withColumn("p", chi2_tail(F.col("g2"))).withColumn("log2_ratio", ratio).withColumn("side", F.when(F.col("a") * F.col("tb") >= F.col("b") * F.col("ta"), "a").otherwise("b"))

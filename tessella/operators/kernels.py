@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+
 
 def local_alignment(a: list[str], b: list[str], weight: dict[str, float] | None = None, mismatch: float = 1.0, gap: float = 1.5) -> tuple[float, list[tuple[int, int]]]:
     """The best local alignment of two token lists: its score and the matched places.
@@ -11,6 +13,8 @@ def local_alignment(a: list[str], b: list[str], weight: dict[str, float] | None
     A match earns the token's weight (1 if unknown). Of equal cells the first in reading order ends the alignment; going
     back, a diagonal step is preferred to one up and that to one left.
     """
+    if weight is None:
+        return _unit_alignment(a, b, mismatch, gap)
     above, moves, best, end = [0.0] * (len(b) + 1), [], 0.0, None
     for i, x in enumerate(a, 1):
         row, step = [0.0], [0]
@@ -36,6 +40,32 @@ def local_alignment(a: list[str], b: list[str], weight: dict[str, float] | None
     return best, places[::-1]
 
 
+def _unit_alignment(a: list[str], b: list[str], mismatch: float, gap: float) -> tuple[float, list[tuple[int, int]]]:
+    """``local_alignment`` with weights of 1, a row at a time: a gap within a row is a running maximum."""
+    number = {w: n for n, w in enumerate(dict.fromkeys(a))}
+    there = np.fromiter((number.get(w, -1) for w in b), "i8", len(b))
+    score, slope = np.zeros((len(a) + 1, len(b) + 1)), gap * np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        row = score[i]
+        row[1:] = np.maximum(score[i - 1, :-1] + np.where(there == number[x], 1.0, -mismatch), score[i - 1, 1:] - gap)
+        np.maximum(row, 0.0, out=row)
+        row[:] = np.maximum.accumulate(row + slope) - slope
+    end = int(score.argmax())  # the first of equals
+    i, j = divmod(end, len(b) + 1)
+    best, places = float(score[i, j]), []
+    while score[i, j] > 0:
+        hit = a[i - 1] == b[j - 1]
+        if score[i, j] == score[i - 1, j - 1] + (1.0 if hit else -mismatch):
+            i, j = i - 1, j - 1
+            if hit:
+                places.append((i, j))
+        elif score[i, j] == score[i - 1, j] - gap:
+            i -= 1
+        else:
+            j -= 1
+    return best, places[::-1]
+
+
 def word_operations(a: list[str], b: list[str], match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> list[tuple[str, int | None, int | None]]:
     """A global alignment as operations: same, changed, omitted, added, and moved for a word that is omitted here and added there."""
     table = [[j * gap for j in range(len(b) + 1)]]

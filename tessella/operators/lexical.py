@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import ngrams, tokens, words
+from tessella.sources.tables import kept
 
 K1, B = 1.2, 0.75
 
@@ -37,17 +38,15 @@ def closed(ngram_rows: DataFrame) -> DataFrame:
 def formula_weights(docs: DataFrame, formulas: DataFrame, alpha: float) -> DataFrame:
     """Token rows with weight ``alpha`` inside an occurrence of a formula (n, ngram), else 1."""
     every = tokens(docs)
+    formulas = kept(formulas.select("n", "ngram"), "formulas")
     lengths = [r["n"] for r in formulas.select("n").distinct().orderBy("n").collect()]  # the few lengths in use
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    inside = None
-    for n in lengths:
-        run = F.concat_ws(" ", *(F.lead("token", i).over(order) if i else F.col("token") for i in range(n)))
-        starts = every.withColumn("ngram", F.when(F.lead("token", n - 1).over(order).isNotNull(), run)) if n > 1 else every.withColumn("ngram", F.col("token"))
-        hits = starts.join(formulas.where(F.col("n") == n).select("ngram"), "ngram", "left_semi")
-        places = hits.select("doc_id", F.explode(F.sequence(F.col("idx"), F.col("idx") + (n - 1))).alias("idx"))
-        inside = places if inside is None else inside.unionByName(places)
-    if inside is None:
+    if not lengths:
         return every.withColumn("weight", F.lit(1.0))
+    runs = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    of_length = lambda n: F.transform(ngrams(F.col("ws"), n), lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("i"), g.alias("ngram")))
+    starts = runs.select("doc_id", F.explode(F.concat(*map(of_length, lengths))).alias("g")).select("doc_id", "g.n", "g.i", "g.ngram")
+    hits = starts.join(formulas, ["n", "ngram"], "left_semi")
+    inside = hits.select("doc_id", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("idx"))
     marked = every.join(inside.distinct().withColumn("hit", F.lit(True)), ["doc_id", "idx"], "left")
     return marked.select("doc_id", "idx", "token", F.when(F.col("hit"), F.lit(alpha)).otherwise(F.lit(1.0)).alias("weight"))
 
@@ -71,6 +70,19 @@ def bm25_postings(weighted: DataFrame, all_docs: DataFrame, k1: float = K1, b: f
     return rows.select("doc_id", "token", (idf * part).alias("dw"))
 
 
+def bm25_of_tokens(docs: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25_postings`` of unit weights for the tokens in ``wanted`` alone: others leave before anything moves, lengths come from the words' arrays."""
+    sized = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
+    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = sized.select("doc_id", "dl", F.explode("ws").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    tf = rows.groupBy("token", "doc_id", "dl").agg(F.count("*").cast("double").alias("tf"))
+    df = F.count("*").over(Window.partitionBy("token"))
+    rows = tf.withColumn("df", df).crossJoin(F.broadcast(totals))  # totals are one row
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return rows.select("doc_id", "token", (idf * part).alias("dw"))
+
+
 def lexical_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """Queries (query_id, token, qw) against postings: query_id, doc_id, score, rank."""
     scores = queries.join(postings, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score"))

@@ -127,7 +127,10 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.exchanges(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
-@query("three_part_split")
+@query("three_part_split", """WITH b AS (SELECT event_id // 100 AS block, count(*) FILTER (event_type = 'purchase') AS hits, count(*) AS size FROM events GROUP BY ALL), r AS (SELECT row_number() OVER (ORDER BY block) AS i, sum(hits) OVER (ORDER BY block)::DOUBLE AS h, sum(size) OVER (ORDER BY block)::DOUBLE AS s FROM b), t AS (SELECT max(i) AS n, max(h) AS th, max(s) AS ts FROM r),
+p AS (SELECT x.i AS i, y.i AS j, x.h AS k1, x.s AS n1, y.h - x.h AS k2, y.s - x.s AS n2, th - y.h AS k3, ts - y.s AS n3, th, ts FROM r x JOIN r y ON y.i >= x.i + 3 AND x.i >= 3 CROSS JOIN t WHERE n - y.i >= 3),
+l AS (SELECT i, j, list_sum(list_transform([[k1, n1], [k2, n2], [k3, n3]], lambda a: CASE WHEN a[1] > 0 AND a[1] < a[2] THEN a[1] * ln(a[1] / a[2]) + (a[2] - a[1]) * ln(1 - a[1] / a[2]) ELSE 0 END)) - (th * ln(th / ts) + (ts - th) * ln(1 - th / ts)) AS gain FROM p)
+SELECT i, j, round(greatest(gain, 0), 6) AS gain FROM l ORDER BY round(greatest(gain, 0), 6) DESC, i, j LIMIT 1""")
 def three_part_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = load(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).alias("block")).agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("hits"), F.count("*").alias("size"))
     return runs.best_three_parts(hours, "block", "hits", "size", 3)
@@ -163,40 +166,51 @@ def binomial_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).agg(F.count("*").alias("n"), F.count(F.when(F.col("a") < F.col("b"), 1)).alias("n_forward")).where("n >= 2")
 
 
-@query("rare_token_pairs", f"""WITH {SQL_TOKENS}, d AS (SELECT DISTINCT doc_id, token FROM toks), r AS (SELECT token, count(*) AS df FROM d GROUP BY token HAVING count(*) BETWEEN 2 AND 6), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT doc_id, token, ln(n.n / df) AS idf FROM d JOIN r USING (token), n)
+@query("rare_token_pairs", f"""WITH {SQL_TOKENS}, d AS (SELECT DISTINCT doc_id, token FROM toks), r AS (SELECT token, count(*) AS df FROM d GROUP BY token HAVING count(*) BETWEEN 2 AND 15), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT doc_id, token, ln(n.n / df) AS idf FROM d JOIN r USING (token), n)
 SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared, round(sum(a.idf), 6) AS score FROM p a JOIN p b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3""")
 def rare_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share at least three rare tokens; a rare token is in six documents at most, so it makes fifteen pairs at most."""
+    """Documents that share at least three rare tokens; a rare token is in fifteen documents at most (the feature's own bound), so it makes 105 pairs at most."""
     docs = load(spark, sf_dir, "documents")
     rows = text.tokens(docs).select("doc_id", "token").distinct()
     n = docs.agg(F.count("*").alias("n"))
-    keys = lexical.rare_keys(rows, 2, 6).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n") / F.col("df")).alias("idf"))  # n is one row
+    keys = lexical.rare_keys(rows, 2, 15).crossJoin(F.broadcast(n)).select("token", F.log(F.col("n") / F.col("df")).alias("idf"))  # n is one row
     groups = rows.join(keys, "token").groupBy("token", "idf").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
     pairs = groups.select("idf", "docs", F.explode("docs").alias("a")).select("idf", "a", F.explode("docs").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.round(F.sum("idf"), 6).alias("score")).where("n_shared >= 3")
 
 
-@query("neighbour_window_pairs", f"""WITH {SQL_TOKENS}, k AS (SELECT doc_id, idx, token FROM toks WHERE token IN (SELECT token FROM toks GROUP BY token HAVING count(DISTINCT doc_id) BETWEEN 2 AND 20))
-SELECT least(a.token, b.token) AS x, greatest(a.token, b.token) AS y, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.idx > a.idx AND b.idx <= a.idx + 3 AND a.token <> b.token GROUP BY ALL HAVING count(*) >= 2""")
+@query("neighbour_window_pairs", f"""WITH {SQL_TOKENS}
+SELECT least(a.token, b.token) AS x, greatest(a.token, b.token) AS y, count(*) AS n FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.idx > a.idx AND b.idx <= a.idx + 3 AND a.token <> b.token GROUP BY ALL HAVING count(*) >= 2""")
 def neighbour_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rarer tokens at most three words apart, by looking ahead in each document."""
-    rows = text.tokens(load(spark, sf_dir, "documents"))
-    rows = rows.join(lexical.rare_keys(rows, 2, 20).select("token"), "token", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    ahead = F.array(*(F.struct(F.lead("idx", i).over(order).alias("idx"), F.lead("token", i).over(order).alias("token")) for i in (1, 2, 3)))
-    pairs = rows.select("idx", "token", ahead.alias("ahead")).select("idx", "token", F.explode("ahead").alias("o")).where(F.col("o.idx").isNotNull() & (F.col("o.idx") <= F.col("idx") + 3) & (F.col("o.token") != F.col("token")))
-    return pairs.groupBy(F.least("token", "o.token").alias("x"), F.greatest("token", "o.token").alias("y")).agg(F.count("*").alias("n")).where("n >= 2")
-
-
-@query("edit1_neighbours", f"""WITH {SQL_TOKENS}, v AS (SELECT DISTINCT token FROM toks WHERE len(token) BETWEEN 4 AND 6), m AS (SELECT token, unnest(list_transform(range(1, len(token) + 1), lambda i: i::VARCHAR || token[1:i - 1] || '*' || token[i + 1:])) AS mask FROM v)
-SELECT DISTINCT a.token AS a, b.token AS b FROM m a JOIN m b ON a.mask = b.mask AND a.token < b.token""")
+    """Pairs of unlike tokens at most three words apart, by looking ahead in each document's words; frequent ones are added up before they move."""
+    docs = load(spark, sf_dir, "documents").select(text.words(F.col("text")).alias("ws"))
+    pairs = None
+    for ahead in (1, 2, 3):
+        both = docs.select(F.explode(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", F.lit(1 + ahead), F.greatest(F.size("ws") - ahead, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b")
+        both = both.where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+        pairs = both if pairs is None else pairs.unionByName(both)
+    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query("edit1_neighbours", f"""WITH {SQL_TOKENS}, v AS (SELECT DISTINCT token FROM toks WHERE len(token) >= 3), m AS (SELECT token, unnest(list_transform(range(1, len(token) + 1), lambda i: i::VARCHAR || token[1:i - 1] || '*' || token[i + 1:])) AS mask FROM v),
+t AS (SELECT token, unnest(list_transform(range(1, len(token)), lambda i: i::VARCHAR || token[1:i - 1] || least(token[i], token[i + 1]) || greatest(token[i], token[i + 1]) || token[i + 2:])) AS swap FROM v),
+d AS (SELECT DISTINCT token, unnest(list_transform(range(1, len(token) + 1), lambda i: token[1:i - 1] || token[i + 1:])) AS less FROM v)
+SELECT DISTINCT a.token AS a, b.token AS b, 'substitution' AS kind FROM m a JOIN m b ON a.mask = b.mask AND a.token < b.token
+UNION ALL SELECT DISTINCT a.token, b.token, 'metathesis' FROM t a JOIN t b ON a.swap = b.swap AND a.token < b.token
+UNION ALL SELECT least(d.token, v.token), greatest(d.token, v.token), 'extension' FROM d JOIN v ON v.token = d.less""")
 def edit1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that differ in one letter, met through their masked forms; never all with all."""
-    words = text.tokens(load(spark, sf_dir, "documents")).select("token").distinct().where(F.char_length("token").between(4, 6))
-    i = F.sequence(F.lit(1), F.char_length("token"))
-    masks = F.transform(i, lambda k: F.concat(k.cast("string"), F.substring(F.col("token"), 1, k - 1), F.lit("*"), F.substring(F.col("token"), k + 1, F.char_length("token"))))
-    rows = words.select("token", F.explode(masks).alias("mask"))
-    return rows.join(rows.toDF("other", "mask"), "mask").where("token < other").select(F.col("token").alias("a"), F.col("other").alias("b")).distinct()
+    """Words of three letters or more that differ in one letter, in the order of two neighbours, or by one letter more; met through keys, never all with all."""
+    words = text.tokens(load(spark, sf_dir, "documents")).select("token").distinct().where(F.char_length("token") >= 3)
+    n, letter = F.char_length("token"), lambda i: F.substring(F.col("token"), i, F.lit(1))
+    before, after = lambda i: F.substring(F.col("token"), F.lit(1), i - 1), lambda i: F.substring(F.col("token"), i, n)
+    masks = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("s"), i.cast("string"), before(i), F.lit("*"), after(i + 1)))
+    swaps = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.lit("t"), i.cast("string"), before(i), F.least(letter(i), letter(i + 1)), F.greatest(letter(i), letter(i + 1)), after(i + 2)))
+    keys = words.select("token", F.explode(F.concat(masks, swaps)).alias("key"))
+    kind = F.when(F.col("key").startswith("s"), "substitution").otherwise("metathesis")
+    same = keys.join(keys.toDF("other", "key"), "key").where("token < other").select(F.col("token").alias("a"), F.col("other").alias("b"), kind.alias("kind")).distinct()
+    less = words.select(F.col("token").alias("long"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(before(i), after(i + 1))))).alias("token"))
+    more = less.join(words, "token").select(F.least("long", "token").alias("a"), F.greatest("long", "token").alias("b"), F.lit("extension").alias("kind"))
+    return same.unionByName(more)
 
 
 @query("pattern_search", f"""WITH {SQL_TOKENS}, t AS (SELECT doc_id, idx, token AS a, lead(token) OVER w AS b, lead(token, 2) OVER w AS c FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) SELECT doc_id, idx, b AS middle FROM t WHERE a = 'the' AND c = 'of'""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import analyses, passages, retrieval, vectors  # noqa: F401
+from tessella.plans import analyses, passages, patterns, retrieval, sets, vectors  # noqa: F401
 from tessella.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "topk_bm25"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +15,20 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows cut from their lineage: written to the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own is used if all executors are threads of this machine; else it is an error.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(folder or '/tmp/tessella-checkpoint').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def read_topk(spark: SparkSession, path: str) -> DataFrame:
     """A stored top-k list with the number in each id (``v:17`` is 17) as src and tgt."""
     rows = spark.read.schema(TOPK).parquet(path)
