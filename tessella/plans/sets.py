@@ -134,13 +134,13 @@ def speech_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.sum("n").alias("words"), F.round(share, 6).alias("user_share"), F.max("n").cast("long").alias("longest"), F.count_distinct("role").alias("roles"))
 
 
-@query("column_ranks", "SELECT l_orderkey, l_linenumber, name, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY x DESC, pos) AS rank FROM (SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS name, unnest([l_quantity / 50, l_discount * 10, l_tax * 12]) AS x, unnest([0, 1, 2]) AS pos FROM lineitem)")
+@query("column_ranks", "SELECT o_orderkey, name, row_number() OVER (PARTITION BY o_orderkey ORDER BY x DESC, pos) AS rank FROM (SELECT o_orderkey, unnest(['price', 'customer', 'order']) AS name, unnest([floor(o_totalprice)::BIGINT % 7, o_custkey % 7, o_orderkey % 7]) AS x, unnest([0, 1, 2]) AS pos FROM orders)")
 def column_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank of every column within its row, ties to the column that comes first; sorted within the row, nothing moves."""
-    values = ((F.col("l_quantity") / 50, "l_quantity"), (F.col("l_discount") * 10, "l_discount"), (F.col("l_tax") * 12, "l_tax"))
-    cells = F.array(*(F.struct((-x).alias("less"), F.lit(i).alias("at"), F.lit(n).alias("name")) for i, (x, n) in enumerate(values)))
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(F.array_sort(cells)).alias("i", "cell"))
-    return rows.select("l_orderkey", "l_linenumber", F.col("cell.name").alias("name"), (F.col("i") + 1).cast("long").alias("rank"))
+    values = ((F.floor("o_totalprice").cast("long") % 7, "price"), (F.col("o_custkey") % 7, "customer"), (F.col("o_orderkey") % 7, "order"))
+    cells = F.array(*(F.struct((-x).cast("long").alias("less"), F.lit(i).alias("at"), F.lit(n).alias("name")) for i, (x, n) in enumerate(values)))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array_sort(cells)).alias("i", "cell"))
+    return rows.select("o_orderkey", F.col("cell.name").alias("name"), (F.col("i") + 1).cast("long").alias("rank"))
 
 
 @query("nearest_snap", "WITH p AS (SELECT DISTINCT o_orderkey * 3 AS place FROM orders) SELECT event_id, place, abs(event_id - place) AS distance FROM events JOIN p ON place BETWEEN event_id - 4 AND event_id + 4 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(event_id - place), place) = 1")
