@@ -11,7 +11,7 @@ from tessella.functions import text
 from tessella.operators import dense, permutation
 from tessella.plans.patterns import PatternError, corpus_words, match
 from tessella.plans.registry import SQL_TOKENS, query
-from tessella.plans.vectors import SQL_COS, labels
+from tessella.plans.vectors import SQL_COS
 from tessella.sources.tables import load
 
 RANGE = re.compile(r"(\d+)(?:-(\d+))?$")
@@ -89,13 +89,8 @@ def stratified_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("maxsim_labels", f"WITH {SQL_COS} SELECT src_label AS unit, tgt_label AS other, round(avg(m), 5) AS score FROM (SELECT src_label, tgt_label, src, max(round(c, 6)) AS m FROM cos WHERE src_label <> tgt_label GROUP BY ALL) GROUP BY ALL")
 def maxsim_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every two labels the mean, over the first one's vectors, of the best cosine to the second one's; one way, not symmetrised."""
-    unit_of = labels(spark, sf_dir)
-    v = dense.vectors(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").join(unit_of, "id")
-    best = None
-    for unit in [r["unit"] for r in unit_of.select("unit").distinct().orderBy("unit").collect()]:  # a few labels
-        found = dense.best_k(v.where(F.col("unit") != unit), v.where(F.col("unit") == unit), 1).select("src", F.lit(unit).alias("other"), F.col("score").alias("m"))
-        best = found if best is None else best.unionByName(found)
-    return best.join(unit_of.withColumnRenamed("id", "src"), "src").groupBy("unit", "other").agg(F.round(F.avg("m"), 5).alias("score"))
+    v = dense.unit_vectors(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return dense.best_in_units(v).groupBy("unit", "other").agg(F.round(F.avg(F.round("m", 6)), 5).alias("score"))
 
 
 @query("heaps_fit", f"""WITH {SQL_TOKENS}, f AS (SELECT token, min(doc_id) AS doc_id FROM toks GROUP BY token), d AS (SELECT lang, doc_id, count(*) AS words FROM toks GROUP BY ALL), k AS (SELECT doc_id, count(*) AS new FROM f GROUP BY ALL),
