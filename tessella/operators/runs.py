@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import kept
+
 
 def islands(rows: DataFrame, by: list[str], position: str, max_gap: int) -> DataFrame:
     """Rows with ``run``: a new one begins where the gap to the row before is over ``max_gap``."""
@@ -50,12 +54,55 @@ def exchanges(turns: DataFrame, conversation: str, turn: str, speaker: str) -> D
     return out.where(F.col("a").isNotNull() & (F.col("a") != F.col("b"))).select(conversation, (F.col("first") - 1).alias("first"), "last", (F.col("n") + 1).alias("turns"), "a", "b")
 
 
+def _three_parts(least: int):
+    """Each first cut, in a task's rows, against all second ones: the best of them by gain to six digits, ties to the smaller cuts."""
+
+    def ll(k, n):
+        with np.errstate(all="ignore"):
+            return np.where((k > 0) & (k < n), k * np.log(k / n) + (n - k) * np.log(1 - k / n), 0.0)
+
+    def run(batches):
+        for batch in batches:
+            best = None
+            for at in range(batch.num_rows):
+                h, s = (np.frombuffer(batch.column(c)[at].as_py(), "f8") for c in ("h", "s"))
+                n, flat = len(h), ll(h[-1], s[-1])
+                second = ll(h[-1] - h, s[-1] - s)  # what the third part adds, by the second cut
+                for i in range(max(batch.column("first")[at].as_py(), least), min(batch.column("last")[at].as_py(), n - 2 * least) + 1):
+                    j = slice(i + least - 1, n - least)
+                    gain = np.round(np.maximum(ll(h[i - 1], s[i - 1]) + ll(h[j] - h[i - 1], s[j] - s[i - 1]) + second[j] - flat, 0.0), 6)
+                    to = int(gain.argmax())
+                    if best is None or gain[to] > best[2]:
+                        best = (i, i + least + to, float(gain[to]))
+            if best:
+                yield pa.RecordBatch.from_pydict({"i": [best[0]], "j": [best[1]], "gain": [best[2]]}, schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("gain", pa.float64())]))
+
+    return run
+
+
+#: First cuts that a task tries.
+CUTS = 256
+
+
 def best_three_parts(counts: DataFrame, position: str, hits: str, size: str, least: int) -> DataFrame:
-    """The two cuts of a sequence that raise the binomial likelihood most over one rate; from prefix sums, pairs of cuts of one short sequence."""
-    order = Window.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.select(F.row_number().over(Window.orderBy(position)).alias("i"), F.sum(hits).over(order).alias("h"), F.sum(size).over(order).alias("s"))
-    ll = lambda k, n: F.when((k > 0) & (k < n), k * F.log(k / n) + (n - k) * F.log(1 - k / n)).otherwise(0.0)
-    total = rows.agg(F.max("i").alias("n"), F.max_by("h", "i").alias("th"), F.max_by("s", "i").alias("ts"))
-    pairs = rows.toDF("i", "h1", "s1").join(rows.toDF("j", "h2", "s2"), (F.col("j") >= F.col("i") + least) & (F.col("i") >= least)).crossJoin(F.broadcast(total)).where(F.col("n") - F.col("j") >= least)
-    gain = ll(F.col("h1"), F.col("s1")) + ll(F.col("h2") - F.col("h1"), F.col("s2") - F.col("s1")) + ll(F.col("th") - F.col("h2"), F.col("ts") - F.col("s2")) - ll(F.col("th"), F.col("ts"))
-    return pairs.select("i", "j", F.round(F.greatest(gain, F.lit(0.0)), 6).alias("gain")).orderBy(F.desc("gain"), "i", "j").limit(1)
+    """The two cuts of a sequence that raise the binomial likelihood most over one rate: all pairs of cuts, in arrays of prefix sums.
+
+    The counts of the sequence are one row of 16 bytes a position; its first cuts are dealt to tasks.
+    """
+    schema = pa.schema([("n", pa.int64()), ("h", pa.binary()), ("s", pa.binary())])
+
+    def sums(batches):
+        table = pa.Table.from_batches(list(batches))
+        if table.num_rows:
+            table = table.sort_by("position")
+            h, s = (np.cumsum(table.column(c).to_numpy().astype("f8")) for c in ("hits", "size"))
+            yield pa.RecordBatch.from_pydict({"n": [table.num_rows], "h": [h.tobytes()], "s": [s.tobytes()]}, schema=schema)
+
+    spark = counts.sparkSession
+    rows = counts.select(F.col(position).alias("position"), F.col(hits).cast("long").alias("hits"), F.col(size).cast("long").alias("size"))
+    whole = kept(rows.where("position is not null").coalesce(1).mapInArrow(sums, "n long, h binary, s binary"), "sums")
+    n = (whole.agg(F.max("n")).first()[0] or 0)
+    tasks = max(1, -(-n // CUTS))
+    firsts = spark.range(0, tasks, 1, min(tasks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24))).select((F.col("id") * CUTS + 1).alias("first"), ((F.col("id") + 1) * CUTS).alias("last"))
+    found = firsts.crossJoin(whole.select("h", "s").hint("shuffle_replicate_nl")).mapInArrow(_three_parts(least), "i int, j int, gain double")
+    return found.orderBy(F.desc("gain"), "i", "j").limit(1)
