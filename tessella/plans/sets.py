@@ -79,9 +79,8 @@ SELECT g AS stratum, round(observed, 6) AS observed, round((1 + count(*) FILTER
 def stratified_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean difference between purchases and other events in each stratum, against labels permuted within it."""
     events = load(spark, sf_dir, "events").where("event_id is not null and user_id is not null and event_type is not null and value is not null")
-    rows = events.select("event_id", (F.col("user_id") % 10).alias("stratum"), (F.col("event_type") == "purchase").alias("inside"), "value")
-    drawn = permutation.permuted(rows, "event_id", ["stratum"], "inside", 99)
-    means = drawn.groupBy("stratum", "draw").agg((F.avg(F.when(F.col("inside"), F.col("value"))) - F.avg(F.when(~F.col("inside"), F.col("value")))).alias("diff"))
+    rows = events.select(F.col("event_id").alias("n"), (F.col("user_id") % 10).alias("stratum"), (F.col("event_type") == "purchase").alias("inside"), "value")
+    means = permutation.permuted_differences(rows, 99)
     out = permutation.p_values(means, ["stratum"], "diff")
     return out.select("stratum", *(F.round(c, 6).alias(c) for c in ("observed", "p_more", "p_less")))
 
