@@ -45,19 +45,38 @@ def empirical_p(observed: Column, null: Column, less: bool = False) -> Column:
     return (1 + hits) / (1 + F.size(null))
 
 
+#: Stretches of p values that are ordered on their own where there is one family.
+STRETCHES = 256
+
+
 def with_bh_q(rows: DataFrame, p: str, q: str = "q", by: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg q values: p * m / rank, from the largest p down never rising, at most 1. Null and NaN stay null.
 
-    The rank over all rows takes one task, as it orders all of them; give ``by`` where families are separate.
+    Equal p values are one row with their number. Without ``by`` they are dealt to stretches between quantiles, which only their
+    totals and least values join; with ``by`` each family is ordered by itself. Both orders are run through once.
     """
-    valid = F.col(p).isNotNull() & ~F.isnan(p)
-    rows = rows.withColumn("_v", valid)
-    keys = [*(by or []), "_v"]
-    up = Window.partitionBy(*keys).orderBy(p)
-    at_most = up.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_raw", F.when(F.col("_v"), F.col(p) * F.count("*").over(Window.partitionBy(*keys)) / F.count("*").over(at_most)))
-    onward = up.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return rows.withColumn(q, F.when(F.col("_v"), F.least(F.min("_raw").over(onward), F.lit(1.0)))).drop("_v", "_raw")
+    keys = list(by or [])
+    each = rows.where(F.col(p).isNotNull() & ~F.isnan(p)).select(*keys, (F.col(p) + F.lit(0.0)).alias("_p")).groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    if by:
+        up, whole = Window.partitionBy(*keys).orderBy("_p"), Window.partitionBy(*keys)
+        each = each.withColumn("_raw", F.col("_p") * F.sum("_n").over(whole) / F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        least = F.min("_raw").over(whole.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    else:
+        bounds = each.agg(F.percentile_approx("_p", [i / STRETCHES for i in range(1, STRETCHES)], 10_000).alias("_bounds"))  # one row
+        each = each.crossJoin(F.broadcast(bounds)).withColumn("_at", F.size(F.filter("_bounds", lambda x: x < F.col("_p")))).drop("_bounds")
+        within = lambda *order: Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        stretch = Window.orderBy("_at")  # a row a stretch
+        totals = each.groupBy("_at").agg(F.sum("_n").alias("_c")).withColumn("_before", F.sum("_c").over(stretch) - F.col("_c")).withColumn("_m", F.sum("_c").over(Window.partitionBy()))
+        each = each.join(F.broadcast(totals.select("_at", "_before", "_m")), "_at")
+        each = each.withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.sum("_n").over(within("_p"))))
+        lows = each.groupBy("_at").agg(F.min("_raw").alias("_low")).withColumn("_later", F.min("_low").over(Window.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)))
+        each = each.join(F.broadcast(lows.select("_at", "_later")), "_at")
+        least = F.least(F.min("_raw").over(within(F.desc("_p"))), F.coalesce("_later", F.lit(float("inf"))))
+    found = each.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_p", F.least(least, F.lit(1.0)).alias(q))
+    same = F.when(~F.isnan(p), F.col(p) + F.lit(0.0)) == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.drop(q).join(found, same, "left").drop("_p", *(f"_k_{k}" for k in keys))
 
 
 def pooled_q(observed: DataFrame, null: DataFrame, reps: int) -> DataFrame:
