@@ -1,4 +1,4 @@
-"""A language of word patterns, compiled to joins on the words of documents.
+"""A language of word patterns, met in each document's row, or compiled to joins on rows of words.
 
 A pattern is a row of terms, ``[...]``, with gaps between them: nothing for the next word, ``..3`` for one of the next four,
 ``..`` for any later word of the document. A term is ``[]`` for any word or conditions that all hold, ``key=value`` or
@@ -12,10 +12,14 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.operators.grams import flat
 from tessella.plans.registry import SQL_TOKENS, query
 from tessella.sources.tables import load
 
@@ -23,6 +27,8 @@ PART = re.compile(r"\s*(?:\[([^\[\]]*)\]|(\.\.)(\d*))")
 CONDITION = re.compile(r"(\w+)(!?=)(\S+)$")
 KEYS = ("word", "starts", "ends", "lang", "source")
 MOST_TERMS, MOST_GAP = 12, 50
+#: Ways that a task lengthens at once.
+HELD = 1 << 18
 
 
 class PatternError(ValueError):
@@ -140,14 +146,110 @@ def match(words: DataFrame, pattern: str) -> DataFrame:
     return out.select("doc_id", F.col("i0").cast("long").alias("first"), F.array(*(F.col(f"i{k}").cast("long") for k in range(n))).alias("places"), F.array(*(f"t{k}" for k in range(n))).alias("matched"))
 
 
+def checks_of(terms: list[Term]) -> list[list[tuple[bool, int]]]:
+    """For each term, the terms whose word its own must be (True) or must not be."""
+    at, out = {}, []
+    for i, term in enumerate(terms):
+        named = [c for c in term.conditions if c.variable is not None]
+        out.append([(c.equal, at.setdefault(c.variable, i)) for c in named])
+    return out
+
+
+def _fits(c: Condition, batch, words, codes, sizes) -> np.ndarray:
+    """``holds`` for every word of a batch; ``words`` has each of them once, ``codes`` says which."""
+    if c.key in ("lang", "source"):
+        found = np.repeat(pc.is_in(batch.column(c.key), value_set=pa.array(c.values)).to_numpy(zero_copy_only=False), sizes)
+    elif c.key == "word":
+        found = pc.is_in(words, value_set=pa.array(c.values)).to_numpy(zero_copy_only=False)[codes]
+    else:
+        test = pc.starts_with if c.key == "starts" else pc.ends_with
+        found = reduce(lambda a, b: a | b, (test(words, v).to_numpy(zero_copy_only=False) for v in c.values))[codes]
+    return found if c.equal else ~found
+
+
+def _longer(terms, checks, fits, codes, end, at):
+    """Every way to complete ``at``, the places of the first terms."""
+    i = len(at)
+    if i == len(terms):
+        yield at
+        return
+    last, gap = at[-1], terms[i].gap
+    first = np.searchsorted(fits[i], last + 1)
+    n = np.searchsorted(fits[i], end[last] if gap is None else np.minimum(end[last], last + gap + 2)) - first
+    cuts = np.nonzero(np.diff(np.cumsum(n) // HELD))[0] + 1
+    for a, b in zip([0, *cuts], [*cuts, len(n)], strict=True):
+        k = np.repeat(np.arange(a, b), n[a:b])
+        before = np.cumsum(n[a:b]) - n[a:b]
+        place = fits[i][np.arange(len(k)) + np.repeat(first[a:b] - before, n[a:b])]
+        now = [*(x[k] for x in at), place]
+        ok = _agree(checks[i], codes, now)
+        yield from _longer(terms, checks, fits, codes, end, [x[ok] for x in now])
+
+
+def _agree(checks, codes, at) -> np.ndarray:
+    ok = np.ones(len(at[-1]), bool)
+    for equal, j in checks:
+        ok &= (codes[at[-1]] == codes[at[j]]) == equal
+    return ok
+
+
+def _met(terms: list[Term], schema):
+    def run(batches):
+        checks = checks_of(terms)
+        for batch in batches:
+            strings, starts = flat(batch.column("ws"))
+            if not len(strings):
+                continue
+            coded, sizes = strings.dictionary_encode(), np.diff(starts)
+            codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            end, fits = starts[1:][row], []
+            for term in terms:
+                plain = [_fits(c, batch, coded.dictionary, codes, sizes) for c in term.conditions if c.variable is None]
+                fits.append(np.nonzero(reduce(lambda a, b: a & b, plain, np.ones(len(codes), bool)))[0])
+            for a in range(0, len(fits[0]), HELD):
+                at = [fits[0][a : a + HELD]]
+                for found in _longer(terms, checks, fits, codes, end, [at[0][_agree(checks[0], codes, at)]]):
+                    if not len(found[0]):
+                        continue
+                    places, of = np.stack(found, 1), row[found[0]]
+                    listed = lambda x, n=len(of): pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * len(terms)), x)
+                    local = places - starts[of][:, None]
+                    columns = [batch.column("doc_id").take(pa.array(of)), pa.array(local[:, 0]), listed(pa.array(local.ravel())), listed(strings.take(pa.array(places.ravel())))]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def match_documents(docs: DataFrame, pattern: str) -> DataFrame:
+    """``match`` on documents (doc_id, lang, source, text): the words of a row meet where it is read, and none of them moves.
+
+    Rows that share a doc_id are one document; only their words meet by joins.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    terms, shared = parse(pattern), None
+    if len(terms) > 1:
+        docs = docs.where(F.col("doc_id").isNotNull())  # as in a join
+        ids = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+        if ids.limit(1).count():
+            shared, docs = docs.join(ids, "doc_id", "left_semi"), docs.join(ids, "doc_id", "left_anti")
+    shape = docs.select("doc_id", F.lit(0).cast("long").alias("first"), F.array(F.lit(0).cast("long")).alias("places"), F.array(F.lit("")).alias("matched")).schema
+    found = docs.select("doc_id", "lang", "source", text.words(F.col("text")).alias("ws")).mapInArrow(_met(terms, to_arrow_schema(shape)), shape)
+    return found if shared is None else found.unionByName(match(worded(shared), pattern))
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "lang", "source", F.posexplode(text.words(F.col("text"))).alias("idx", "token"))
+
+
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(text.words(F.col("text"))).alias("idx", "token"))
+    return worded(load(spark, sf_dir, "documents"))
 
 
 def registered(name: str, pattern: str, sql: str) -> None:
     @query(name, f"WITH {SQL_TOKENS} {sql}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = match(corpus_words(spark, sf_dir), pattern)
+        found = match_documents(load(spark, sf_dir, "documents"), pattern)
         return found.select("doc_id", "first", F.array_join("places", " ").alias("places"), F.array_join("matched", " ").alias("matched"))
 
     run.__doc__ = f"Every place where {pattern} fits."
