@@ -285,8 +285,10 @@ def decisions(rows: DataFrame, *, shards: int | None = None, blocks: int = BLOCK
     per_group = [(r["group"], r["n"]) for r in groups.select("group", "n").orderBy("group").collect()]  # one for SOURCES_AT_ONCE sources
     quotas = np.array([n for _, n in per_group], "i8")
     parted = splitting_tree(quotas, even(int(quotas.sum()), shards), [SEED]) if per_group else []
-    totals = spark.createDataFrame([(g, t.tolist()) for (g, _), t in zip(per_group, parted, strict=True)], "group long, totals array<long>")
+    # an Arrow table and not rows, which executors would read by Python workers of another kind
+    totals = spark.createDataFrame(pa.table({"group": pa.array([g for g, _ in per_group], pa.int64()), "totals": pa.array([t.tolist() for t in parted], pa.list_(pa.int64()))}))
     per_source = groups.drop("n").join(totals, "group").select("group", "sources", "totals").mapInArrow(_split, "at long, per_shard array<long>")
+    per_source = written(per_source, "quotas-by-shard")  # so that no task runs two Python workers, which an executor would keep
     drawn = units.join(per_source, "at").select("at", "rounds", "every", "extra", "per_shard").mapInArrow(_deal, DRAWN_DDL)
     out = both.join(drawn, ["at", "block"], "left").join(border, ["at", "block"], "left")
     last = F.when(F.col("parts").isNotNull(), F.col("rounds") + 1)

@@ -190,3 +190,38 @@ def test_every_operator_is_registered():
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def kernels_at_once(plan, above=0):
+    """The most Python kernels that one task of a plan runs, each in a worker of its own."""
+    name = plan.nodeName()
+    here = 0 if "Exchange" in name else above + bool(re.search("InArrow|InPandas|Python|ArrowEval", name))
+    children = plan.children()
+    return max([here, *(kernels_at_once(children.apply(i), here) for i in range(children.size()))])
+
+
+def test_tasks_have_one_python_worker(spark, tmp_path, monkeypatch):
+    """Executors keep as many workers as ran at once; two a task, and others for rows made on the driver, took an executor beyond its memory."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    found = []
+
+    def noted(self, *args, f=None, **named):
+        plan = self._df._jdf.queryExecution().executedPlan()
+        found.append((kernels_at_once(plan), "ExistingRDD" in plan.toString()))
+        return f(self, *args, **named)
+
+    for name in ("parquet", "saveAsTable"):
+        monkeypatch.setattr(DataFrameWriter, name, lambda self, *args, f=getattr(DataFrameWriter, name), **named: noted(self, *args, f=f, **named))
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans show their exchanges before they run
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            found.clear()
+            stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+            assert any(n for n, _ in found), name
+            assert all(n <= 1 and not from_driver for n, from_driver in found), (name, found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
